@@ -19,16 +19,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """``df`` cut from its lineage by a reliable checkpoint in the shared folder.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names in ``spark.checkpoint.dir``; where that is unset (tests, one machine), a temporary one."""
+    sc = spark.sparkContext
+    held = sc._jsc.sc().getCheckpointDir()
+    if held.isEmpty():
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), f"ckpt-{uuid.uuid4().hex}"))
+        held = sc._jsc.sc().getCheckpointDir()
+    return held.get()
 
-    The folder is the session's ``spark.checkpoint.dir``; only where that is
-    unset (tests, a single machine) a temporary folder is taken.
-    """
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), f"ckpt-{uuid.uuid4().hex}")
-        sc.setCheckpointDir(folder)
+
+def durable(df: DataFrame) -> DataFrame:
+    """``df`` cut from its lineage by a reliable checkpoint in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

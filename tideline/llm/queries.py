@@ -7,10 +7,22 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality, simhash, toxicity
+from . import ann, embdedup, htmltext, packing, quality, secretscan, sentencepieces, simhash, toxicity, urlgraph
 from .common import table
 
 
+def op1_rabitq(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, 20)
+
+
+def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secretscan.find_secrets(table(spark, sf_dir, "documents"))
+
+
+def op3_itq_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embdedup.duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -20,13 +32,36 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hexadecimal("fp").alias("fingerprint"), "component_id")
 
 
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepieces.round_trip(table(spark, sf_dir, "documents"))
+
+
+def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.extract(table(spark, sf_dir, "pages"))
+
+
+def op10_url_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlgraph.judge(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_rabitq": op1_rabitq,
+    "op2_secrets": op2_secrets,
+    "op3_itq_dedup": op3_itq_dedup,
     "op4_toxicity": op4_toxicity,
     "op5_simhash": op5_simhash,
+    "op6_packing": op6_packing,
     "op7_quality": op7_quality,
+    "op8_sentencepiece": op8_sentencepiece,
+    "op9_html_text": op9_html_text,
+    "op10_url_graph": op10_url_graph,
 }
 ORACLE_SQL: dict[str, str] = {}

@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import pickle
 import re
+import zlib
 from collections import Counter
 from dataclasses import dataclass
 
@@ -50,6 +51,8 @@ class Settings:
 SEARCH = zstandard.ZstdCompressionParameters(
     strategy=zstandard.STRATEGY_LAZY2, window_log=18, hash_log=18, chain_log=18, search_log=7, min_match=4, target_length=64, write_content_size=False, write_dict_id=False, write_checksum=False
 )
+#: A telling gram is rarer in ordinary texts than this share of its frequency in toxic ones.
+RATIO = 0.015
 _WORD = re.compile(rb"\S+\s?")
 
 
@@ -127,14 +130,29 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05, rounds: int = 60
     return np.r_[w[0] - (w[1:] * mean / deviation).sum(), w[1:] / deviation]
 
 
+def distinct_texts(texts: list[bytes], k: int, sketch: int = 24) -> list[bytes]:
+    """``texts`` without near copies of earlier ones (half of the smallest hashes of their k-grams shared)."""
+    kept, owner = [], {}
+    for raw in texts:
+        marks = sorted({zlib.crc32(raw[i : i + k]) for i in range(len(raw) - k + 1)})[:sketch]
+        shared = Counter(owner[m] for m in marks if m in owner)
+        if shared and max(shared.values()) * 2 >= len(marks):
+            continue
+        for m in marks:
+            owner.setdefault(m, len(kept))
+        kept.append(raw)
+    return kept
+
+
 def telling_words(toxic: list[bytes], ordinary: list[bytes], k: int) -> list[bytes]:
-    """Words of toxic texts that hold a byte k-gram at least 30 times as usual there as in ordinary texts."""
+    """Words of toxic texts that hold a byte k-gram far more usual there than in ordinary texts."""
+    toxic = distinct_texts(toxic, k)  # a word must stand in texts that are not copies of each other
     seen = [Counter(), Counter()]
     for counter, texts in zip(seen, (ordinary, toxic), strict=True):
         for raw in texts:
             counter.update({raw[i : i + k] for i in range(len(raw) - k + 1)})
-    need = max(3, 0.012 * len(toxic))
-    good = {g for g, c in seen[1].items() if c >= need and (seen[0][g] + 0.5) / len(ordinary) < 0.03 * c / len(toxic)}
+    need = max(3, 0.01 * len(toxic))
+    good = {g for g, c in seen[1].items() if c >= need and (seen[0][g] + 0.5) / len(ordinary) < RATIO * c / len(toxic)}
     found = []
     for raw in toxic:
         for m in _WORD.finditer(raw):
