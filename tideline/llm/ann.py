@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..shipping import ship
-from .common import arrow_map, durable
+from .common import arrow_map, durable, hash_sample
 
 SAMPLE = 4096  # vectors that the centre is taken from, at most
 BLOCK = 8192  # candidates in a block, about
@@ -148,9 +148,9 @@ def nearest(vectors: DataFrame, queries_where, k: int = 20, bits: int = 512, bou
     if size is None:
         return spark.createDataFrame([], empty)
     once = once.filter(F.length("v") == size)
-    sample = matrix([bytes(r.v) for r in once.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("v").collect()])
-    codes = Codes(size // 8, bits, sample.mean(axis=0))
     total, asked = once.agg(F.count(F.lit(1)), F.count_if(queries_where)).first()
+    sample = matrix([bytes(r.v) for r in hash_sample(once, ["vec_id"], SAMPLE, total).select("v").collect()])
+    codes = Codes(size // 8, bits, sample.mean(axis=0))
     candidate_blocks, query_blocks = max(1, round(total / block)), max(1, round(asked / query_block))
 
     def encode(batch):

@@ -90,6 +90,19 @@ def id_remainder(column: str, divisor: int) -> Column:
     return F.crc32(F.col(column).cast("string").cast("binary")) % F.lit(divisor)
 
 
+def hash_sample(rows: DataFrame, keys: list[str], most: int, total: int) -> DataFrame:
+    """At most ``most`` of ``total`` rows, the first by the hash of ``keys``; the same in every run.
+
+    A threshold on the hash leaves about 1.5 times as many rows, wherever they
+    lie, so the sort that follows never sees more than that.
+    """
+    marked = rows.withColumn("_hash", F.xxhash64(*keys))
+    share = (1.5 * most + 50) / max(1, total)
+    if share < 1:
+        marked = marked.filter(F.pmod(F.col("_hash"), F.lit(1 << 40)) < int(share * (1 << 40)))
+    return marked.orderBy(F.pmod(F.col("_hash"), F.lit(1 << 40)), "_hash", *keys).limit(most).drop("_hash")
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, target: str, divisor: int, held: int, per_class: int) -> DataFrame:
     """At most ``per_class`` documents of each class: (label, text).
 
@@ -102,8 +115,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, target: str, divisor: in
         .filter(F.col("_label").isin(0, 1) & (id_remainder("doc_id", divisor) != held))
         .groupBy("doc_id")
         .agg(F.max("_label").alias("_label"))
-        .withColumn("_order", F.xxhash64("doc_id"))
     )
-    parts = [usable.filter(F.col("_label") == c).orderBy("_order", "doc_id").limit(per_class) for c in (0, 1)]
+    counts = {r._label: r.n for r in usable.groupBy("_label").agg(F.count(F.lit(1)).alias("n")).collect()}  # two rows at most
+    parts = [hash_sample(usable.filter(F.col("_label") == c), ["doc_id"], per_class, counts.get(c, 0)) for c in (0, 1)]
     ids = parts[0].unionByName(parts[1]).select(F.col("doc_id").alias("_id"), "_label")
     return docs.select("doc_id", "text").join(F.broadcast(ids), F.col("doc_id") == F.col("_id")).select("doc_id", F.col("_label").alias("label"), "text")

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .ann import common_length, matrix, usable
-from .common import arrow_map, arrow_rows, durable
+from .common import arrow_map, arrow_rows, durable, hash_sample
 from .components import connected_components
 
 SAMPLE = 8192  # vectors that the rotation is learned from, at most
@@ -127,11 +127,11 @@ def duplicates(vectors: DataFrame, threshold: float = 0.98, chunk: int | None =
         return vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.lit(0).cast("long").alias("n_links"), F.col("vec_id").cast("long").alias("component_id"), F.col("vec_id").isNotNull().alias("kept"))
     rows = rows.filter(F.length("v") == size)
     merged = durable(rows.groupBy("label", "v").agg(F.count(F.lit(1)).alias("weight"), F.min("vec_id").alias("node")).withColumn("class_id", F.monotonically_increasing_id()))
-    sample = matrix([bytes(r.v) for r in merged.orderBy(F.xxhash64("class_id"), "class_id").limit(SAMPLE).select("v").collect()])
+    by_label = merged.groupBy("label").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("largest"), F.sum("n").alias("total")).first()
+    sample = matrix([bytes(r.v) for r in hash_sample(merged, ["label", "v"], SAMPLE, by_label.total).select("v").collect()])
     centre, rotation = learn_rotation(units(sample))
     bits = rotation.shape[1]
-    largest = merged.groupBy("label").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
-    places = tables_for(bits, chunk or int(np.clip(np.ceil(np.log2(largest / 64)), 8, 24)), threshold)
+    places = tables_for(bits, chunk or int(np.clip(np.ceil(np.log2(by_label.largest / 64)), 8, 24)), threshold)
     count = len(places)
 
     def encode(batch):
