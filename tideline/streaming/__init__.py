@@ -1 +1 @@
-
+"""Streams of vintage rows, kept up to date as revisions arrive."""
