@@ -103,7 +103,7 @@ def bootstrap_intervals(pairs: DataFrame, method: str = "moving", draws: int = 9
     ship(pairs.sparkSession)
     schema = "contrast string, variable string, horizon int, n int, mean_differential double, low double, high double, valid boolean"
 
-    def one(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def one(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["origin_ord", "target", "group"])
         d = rows["d"].dropna().to_numpy(float)
         n, h = len(d), int(key[2])

@@ -11,6 +11,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.tables import literal_table
 from ..schemas import CELL, DataError
 
 
@@ -34,7 +35,7 @@ class LossConfig:
 def _lookup(spark, table: dict, name: str) -> DataFrame:
     """A configuration's table; its rows are a configuration's entries, not data."""
     rows = [(str(v), int(h), float(x)) for (v, h), x in table.items()]
-    return spark.createDataFrame(rows, f"variable string, horizon int, {name} double")
+    return literal_table(spark, rows, f"variable string, horizon int, {name} double")
 
 
 def cell_values(records: DataFrame, config: LossConfig, by: list[str] | None = None) -> DataFrame:

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import child_seed
+from ..functions.tables import literal_table
 from ..kernels import bvar, ridge
 from ..operators import losses, selection
 from ..schemas import CELL
@@ -51,7 +52,7 @@ def fitted(windows: DataFrame, grid: list[tuple], study: Study, by: list[str]) -
     kinds = dict(windows.dtypes)
     schema = ", ".join(f"{c} {kinds[c]}" for c in by) + ", candidate int, variable string, horizon int, forecast double"
 
-    def one(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def one(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         y = rows.pivot(index="row_idx", columns="variable", values="value").sort_index()[variables].to_numpy(float)
         out = []
         for k in sorted({int(c) for c in rows["wanted"].iloc[0]}):
@@ -67,17 +68,17 @@ def fitted(windows: DataFrame, grid: list[tuple], study: Study, by: list[str]) -
 def scope_grid(panel: DataFrame, study: Study) -> tuple[DataFrame, DataFrame]:
     """(selections, forecasts) for all scopes. ``panel``: long (row_idx, variable, value), complete."""
     spark = panel.sparkSession
-    panel = panel.filter(F.col("variable").isin(list(study.variables)))
+    panel = panel.filter(F.col("variable").isin(list(study.variables))).persist()  # read by every stage below; recomputed if an executor is lost
     last = panel.agg(F.max("row_idx")).first()[0]
     longest = max(study.horizons)
     outer = [last - longest - k for k in range(study.n_outer)][::-1]
-    origins = spark.createDataFrame(list(enumerate(outer)), "idx int, origin int")
+    origins = literal_table(spark, list(enumerate(outer)), "idx int, origin int")
     events = planning.selection_events(origins, study.every)
     at = events.join(origins, events.applies_from == origins.idx).select("event_id", F.col("origin").alias("cutoff"))
 
     candidates = planning.grid(spark, study.lam, study.p, study.alpha, study.kappa)
     rows = [(r.lam, r.p, r.alpha, r.kappa) for r in candidates.orderBy("candidate").collect()]  # the configuration's own grid
-    targets = planning.targets(spark.createDataFrame([(v,) for v in study.variables], "variable string"), spark.createDataFrame([(h,) for h in study.horizons], "horizon int"))
+    targets = planning.targets(literal_table(spark, [(v,) for v in study.variables], "variable string"), literal_table(spark, [(h,) for h in study.horizons], "horizon int"))
     plan = planning.selection_plan(targets, study.scopes)
 
     splits = planning.validation_splits(at.select("cutoff").distinct(), {h: h for h in study.horizons}, study.min_train, study.n_inner)
@@ -109,10 +110,10 @@ def benchmarks(panel: DataFrame, study: Study, kinds: tuple[str, ...] = ("no_cha
     spark, variables, horizons = panel.sparkSession, list(study.variables), list(study.horizons)
     panel = panel.filter(F.col("variable").isin(variables))
     last = panel.agg(F.max("row_idx")).first()[0]
-    origins = spark.createDataFrame([(last - max(horizons) - k,) for k in range(study.n_outer)], "origin int")
+    origins = literal_table(spark, [(last - max(horizons) - k,) for k in range(study.n_outer)], "origin int")
     schema = "model string, origin int, variable string, horizon int, forecast double, lag int"
 
-    def one(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def one(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         y = rows.pivot(index="row_idx", columns="variable", values="value").sort_index()[variables].to_numpy(float)
         out = []
         for kind in kinds:
@@ -134,11 +135,11 @@ def bayesian_forecasts(panel: DataFrame, study: Study, lags: int = 2, draws: int
     spark, variables, horizons = panel.sparkSession, list(study.variables), list(study.horizons)
     panel = panel.filter(F.col("variable").isin(variables))
     last = panel.agg(F.max("row_idx")).first()[0]
-    origins = spark.createDataFrame([(last - max(horizons) - k,) for k in range(study.n_outer)], "origin int")
+    origins = literal_table(spark, [(last - max(horizons) - k,) for k in range(study.n_outer)], "origin int")
     schema = "origin int, draw int, variable string, horizon int, value double, error string"
     names = [c.split()[0] for c in schema.split(", ")]
 
-    def one(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def one(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         origin = int(key[0])
         try:
             y = rows.pivot(index="row_idx", columns="variable", values="value").sort_index()[variables].to_numpy(float)

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars
+from ..functions.tables import literal_table
 from ..schemas import DataError
 
 SCOPES = ("pooled", "horizon", "variable", "variable_horizon", "group", "group_horizon")
@@ -93,7 +94,7 @@ def target_rows(panel: DataFrame, splits: DataFrame) -> DataFrame:
 def grid(spark: SparkSession, lam=(0.01, 0.1, 1.0, 10.0, 100.0, 1000.0), p=(1, 2, 4), alpha=(0.0, 1.0, 2.0), kappa=(1.0, 2.0)) -> DataFrame:
     """Candidates: the product of the distinct values of each hyperparameter, numbered."""
     rows = list(product(*(sorted(set(v)) for v in (lam, p, alpha, kappa))))
-    return spark.createDataFrame([(i, float(a), int(b), float(c), float(d)) for i, (a, b, c, d) in enumerate(rows)], "candidate int, lam double, p int, alpha double, kappa double")
+    return literal_table(spark, [(i, float(a), int(b), float(c), float(d)) for i, (a, b, c, d) in enumerate(rows)], "candidate int, lam double, p int, alpha double, kappa double")
 
 
 def month_ends(spark: SparkSession, first: str, last: str, months: int = 1) -> DataFrame:
@@ -107,7 +108,7 @@ def jobs(spark: SparkSession, config: dict) -> DataFrame:
     for family, part in sorted(config.items()):
         for scope, variant, seed in product(part.get("scopes", ["pooled"]), part.get("variants", ["default"]), part.get("seeds", [0])):
             rows.append((f"{family}-{scope}-{variant}-s{seed}", family, scope, variant, int(seed), scalars.stable_hash([family, scope, variant, seed, part.get("settings", {})])))
-    return spark.createDataFrame(rows, "job_id string, family string, scope string, variant string, seed int, configuration_hash string")
+    return literal_table(spark, rows, "job_id string, family string, scope string, variant string, seed int, configuration_hash string")
 
 
 def fit_counts(events: int, cells: int, candidates: int, inner: int, outer: int) -> dict[str, int]:

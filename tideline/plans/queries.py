@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import periods, scalars
+from ..functions.tables import literal_table
 from ..operators import checks, inference, losses, metrics, pairing, selection, vintage
 from . import datasets as D
 from . import experiment, planning
@@ -171,7 +172,7 @@ lrv AS (SELECT contrast, variable, horizon, n, sum(gamma * CASE WHEN k = 0 THEN
 
 
 def contrast_pairs(spark, sf):
-    panel = D.panel(spark, sf)
+    panel = D.panel(spark, sf).persist()  # both sides of the pairing and the contrasts read it
     return pairing.paired_errors(panel, pairing.scope_contrasts(panel))
 
 
@@ -317,7 +318,7 @@ def information_criteria(spark, sf):
 
 def _targets(spark, sf):
     variables = D.table(spark, sf, "orders").select(F.col("o_orderpriority").alias("variable")).distinct()
-    return planning.targets(variables, spark.createDataFrame([(h,) for h in D.HORIZONS], "horizon int"))
+    return planning.targets(variables, literal_table(spark, [(h,) for h in D.HORIZONS], "horizon int"))
 
 
 PLAN = """WITH t AS (SELECT variable, horizon FROM (SELECT DISTINCT o_orderpriority AS variable FROM orders) CROSS JOIN (VALUES (1), (2), (4)) AS h(horizon)),
