@@ -179,3 +179,48 @@ def test_stream_of_revisions_equals_the_batch(spark, tmp_path):
     q.awaitTermination(120)
     got = sorted((r.observation_date, r.value) for r in spark.table("newest").collect())
     assert got == sorted((r.observation_date, r.value) for r in vintage.latest(df).collect())
+
+
+def test_cache_reads_through_and_notices_changes(spark, tmp_path):
+    from tideline.sources import cache
+
+    path, built = str(tmp_path / "c"), []
+
+    def build():
+        built.append(1)
+        return spark.createDataFrame([("a", 1.0), ("b", None)], "k string, v double")
+
+    assert cache.read_through(spark, path, "s", build).count() == 2
+    assert cache.read_through(spark, path, "s", build).count() == 2 and len(built) == 1
+    with pytest.raises(DataError, match="not t"):
+        cache.read_through(spark, path, "t", build)
+    spark.createDataFrame([("a", 2.0)], "k string, v double").write.mode("overwrite").parquet(path + "/data")
+    with pytest.raises(DataError, match="changed"):
+        cache.read_through(spark, path, "s", build)
+    assert cache.read_through(spark, path, "s", build, refresh=True).count() == 2
+    parts = [spark.createDataFrame([(s, k) for k in range(3)], "series_id string, k int") for s in "ba"]
+    assert cache.assemble(parts, ["series_id", "k"]).count() == 6
+
+
+def test_outputs_schedules_and_manifests(tmp_path):
+    (tmp_path / "a.csv").write_text("x,y\n1,2\n")
+    (tmp_path / "b.json").write_text('{"k": 1}')
+    assert runstate.validate_outputs(tmp_path, {"a.csv": (["x"], 1)}, {"b.json": ["k"]}) == []
+    assert len(runstate.validate_outputs(tmp_path, {"a.csv": (["z"], 2), "n.csv": ([], 0)}, {"b.json": ["q"], "c.json": []})) == 5
+    assert [planning.parse_schedule(t) for t in ("once", "per_origin", "annual", "3")] == [None, 1, 4, 3]
+    with pytest.raises(DataError):
+        planning.parse_schedule("0")
+    assert planning.study_warnings(96, 3, 8) == [] and len(planning.study_warnings(5, 3, 2, True)) == 3
+    made = json.loads(runstate.comparison_manifest(tmp_path, [tmp_path / "a.csv"], {"baseline": "m"}).read_text())
+    assert made["inputs"][0]["bytes"] == 8 and len(made["inputs"][0]["sha256"]) == 64
+    assert runstate.status_counts([{"state": "complete"}, {"state": "complete"}]) == {"complete": 2}
+
+
+def test_report(spark, tmp_path):
+    from tideline.plans import datasets, report
+
+    tables = report.comparison(datasets.panel(spark, "/root/testdata/sf0.001").persist(), "no_change", draws=50)
+    report.write({k: tables[k] for k in ("rmse", "average_ranks")}, str(tmp_path))
+    assert spark.read.csv(str(tmp_path / "rmse"), header=True).count() == 60
+    assert "## average_ranks" in report.markdown(tables, ["average_ranks"])
+    assert {r.table_name for r in report.overview(tables).collect()} == set(tables)

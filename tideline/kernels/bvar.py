@@ -195,3 +195,14 @@ def search(score, candidates: list[tuple], penalty: float = 1e10) -> tuple[tuple
     if values[k] >= penalty:
         raise ValueError("no candidate has a finite score")
     return candidates[k], values[k]
+
+
+def forecast(y: np.ndarray, p: int, lam: float, theta: float, mu: float, horizons: list[int]) -> np.ndarray | None:
+    """(horizons, n) posterior-mean forecasts at given hyperparameters, without shocks; None where they can't be had."""
+    try:
+        if len(y) < 2 * p + 2:
+            return None
+        got = predictive(context(y, p), np.array([lam, theta, mu]), max(horizons), None)[[h - 1 for h in horizons]]
+    except (ValueError, ArithmeticError, np.linalg.LinAlgError):
+        return None
+    return got if np.isfinite(got).all() else None

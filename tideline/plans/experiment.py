@@ -8,6 +8,7 @@ can't be fitted gives no row, and errors come back as rows.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -38,6 +39,7 @@ class Study:
     min_train: int = 30
     every: int | None = None  # None: select once
     method: str = "iterated"
+    kernel: Callable | None = None  # own forecaster (y, p, lam, alpha, kappa, horizons) -> (horizons, n) or None; ridge where None
     loss: losses.LossConfig = field(default_factory=losses.LossConfig)
 
 
@@ -48,7 +50,7 @@ def fitted(windows: DataFrame, grid: list[tuple], study: Study, by: list[str]) -
     with ``wanted``, an array of candidate numbers.
     """
     ship(windows.sparkSession)
-    variables, horizons, method = list(study.variables), list(study.horizons), study.method
+    variables, horizons, method, own = list(study.variables), list(study.horizons), study.method, study.kernel
     kinds = dict(windows.dtypes)
     schema = ", ".join(f"{c} {kinds[c]}" for c in by) + ", candidate int, variable string, horizon int, forecast double"
 
@@ -57,7 +59,7 @@ def fitted(windows: DataFrame, grid: list[tuple], study: Study, by: list[str]) -
         out = []
         for k in sorted({int(c) for c in rows["wanted"].iloc[0]}):
             lam, p, alpha, kappa = grid[k]
-            got = ridge.forecast(y, p, lam, alpha, kappa, horizons, method)
+            got = own(y, p, lam, alpha, kappa, horizons) if own else ridge.forecast(y, p, lam, alpha, kappa, horizons, method)
             if got is not None:
                 out += [(*key, k, v, h, float(got[i, j])) for i, h in enumerate(horizons) for j, v in enumerate(variables)]
         return pd.DataFrame(out, columns=[*by, "candidate", "variable", "horizon", "forecast"])

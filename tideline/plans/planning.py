@@ -114,3 +114,29 @@ def jobs(spark: SparkSession, config: dict) -> DataFrame:
 def fit_counts(events: int, cells: int, candidates: int, inner: int, outer: int) -> dict[str, int]:
     """Fits of a nested study that refits for each cell, and of one that shares fits between cells."""
     return {"per_cell": events * cells * candidates * inner + outer * cells, "shared": events * candidates * inner + outer * cells}
+
+
+def parse_schedule(token: str) -> int | None:
+    """``once``, ``per_origin``, ``annual`` (every 4 quarters) or a number of origins, as ``every`` of the events."""
+    named = {"once": None, "per_origin": 1, "annual": 4}
+    if token in named:
+        return named[token]
+    if not token.isdigit() or int(token) < 1:
+        raise DataError(f"unknown schedule {token!r}")
+    return int(token)
+
+
+#: Strategies that select on the first origin only, and on every origin.
+SCHEDULES = {"marginal_likelihood": "per_origin", "rmse": "once", "fixed": "once"}
+
+
+def study_warnings(budget: int, dimensions: int, inner_origins: int, absolute_scales: bool = False) -> list[str]:
+    """What makes a study's selections unsure."""
+    found = []
+    if budget < max(24, 8 * dimensions):
+        found.append(f"{budget} evaluations are few for {dimensions} dimensions")
+    if inner_origins < 8:
+        found.append(f"{inner_origins} inner origins are few")
+    if absolute_scales:
+        found.append("absolute residual scales leak between folds")
+    return found

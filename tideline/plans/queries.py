@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from ..functions import periods, scalars
 from ..functions.tables import literal_table
+from ..kernels import bvar
 from ..operators import checks, inference, losses, metrics, pairing, selection, vintage
 from . import datasets as D
-from . import experiment, planning
+from . import experiment, planning, report
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -671,3 +672,32 @@ def benchmark_forecasts(spark, sf):
 def bayesian_forecasts(spark, sf):
     draws = experiment.bayesian_forecasts(growth_rows(spark, sf, STUDY.variables), STUDY, draws=60)
     return vintage.summaries(draws.filter("error is null"), ["origin", "variable", "horizon"])
+
+
+@query()
+def bayesian_scope_forecasts(spark, sf):
+    """The same nested plan with another kernel: shrinkage lam, unit-root weight alpha and sum-of-coefficients weight kappa."""
+    study = experiment.Study(variables=STUDY.variables, scopes=("pooled", "variable"), lam=(0.1, 0.2, 0.5), p=(2,), alpha=(1.0, 5.0), kappa=(1.0,), kernel=bvar.forecast)
+    return experiment.scope_grid(growth_rows(spark, sf, study.variables), study)[1]
+
+
+# Everything that a comparison reports, in one table: its parts by name.
+@query()
+def comparison_overview(spark, sf):
+    return report.overview(report.comparison(D.panel(spark, sf).persist(), "no_change"))
+
+
+@query("WITH h AS (SELECT DISTINCT 'h' || p_size || 'q' AS label, p_size FROM part) SELECT label, row_number() OVER (ORDER BY p_size) AS position FROM h")
+def horizon_order(spark, sf):
+    labels = D.table(spark, sf, "part").select(F.concat(F.lit("h"), F.col("p_size").cast("string"), F.lit("q")).alias("label")).distinct()
+    return labels.select("label", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(scalars.horizon_number(F.col("label")))).cast("long").alias("position"))
+
+
+@query("WITH " + D.PANEL_SQL + """, q AS (SELECT 'quarterly' AS block, variable, CAST(floor(m / 3) AS INTEGER) AS quarter, arg_max(value, m) AS value FROM panel_m WHERE variable <= '2-HIGH' GROUP BY 2, 3),
+a AS (SELECT 'monthly' AS block, variable, CAST(floor(m / 3) AS INTEGER) AS quarter, CASE WHEN count(*) = 3 THEN round(avg(value), 4) END AS value FROM panel_m WHERE variable > '2-HIGH' GROUP BY 2, 3) SELECT * FROM q UNION ALL SELECT * FROM a""")
+def evaluation_frame(spark, sf):
+    """Quarterly series by their last month, monthly ones by the mean of complete quarters, in one long frame."""
+    monthly = D.panel_monthly(spark, sf).select(F.col("variable").alias("series_id"), F.col("m").alias("month"), "value")
+    q = vintage.to_quarters(monthly.filter("series_id <= '2-HIGH'"), "last").withColumn("block", F.lit("quarterly"))
+    a = vintage.to_quarters(monthly.filter("series_id > '2-HIGH'"), "mean", complete=True).withColumn("block", F.lit("monthly"))
+    return q.unionByName(a).select("block", F.col("series_id").alias("variable"), "quarter", F.when(F.col("block") == "quarterly", F.col("value")).otherwise(F.round("value", 4)).alias("value"))

@@ -119,3 +119,53 @@ def plan_jobs(jobs: list[dict], states: dict[str, str], policy: str = "resume")
             action = "reject"
         out.append(job | {"state": now, "action": action})
     return out
+
+
+def validate_outputs(folder: str | Path, tables: dict[str, tuple[list[str], int]] | None = None, documents: dict[str, list[str]] | None = None) -> list[str]:
+    """Faults of driver-side outputs: CSV headers and least row counts, JSON documents and their keys."""
+    import csv
+
+    found = []
+    for name, (columns, least) in (tables or {}).items():
+        try:
+            with open(Path(folder) / name, newline="") as lines:
+                rows = csv.reader(lines)
+                head = next(rows, [])
+                n = sum(1 for _ in rows)
+        except OSError:
+            found.append(f"{name}: missing")
+            continue
+        if missing := [c for c in columns if c not in head]:
+            found.append(f"{name}: lacks {', '.join(missing)}")
+        if n < least:
+            found.append(f"{name}: {n} rows, at least {least} wanted")
+    for name, keys in (documents or {}).items():
+        held = _read(Path(folder) / name)
+        found += [f"{name}: unreadable"] if held is None else [f"{name}: lacks {k}" for k in keys if k not in held]
+    return found
+
+
+def status_counts(plans: list[dict]) -> dict[str, int]:
+    out: dict[str, int] = {}
+    for p in plans:
+        out[p["state"]] = out.get(p["state"], 0) + 1
+    return out
+
+
+def file_fingerprint(path: str | Path) -> dict:
+    """Size and SHA-256 of a driver-side file, read in blocks."""
+    import hashlib
+
+    digest, size = hashlib.sha256(), 0
+    with open(path, "rb") as raw:
+        while block := raw.read(1 << 20):
+            digest.update(block)
+            size += len(block)
+    return {"path": str(path), "bytes": size, "sha256": digest.hexdigest()}
+
+
+def comparison_manifest(folder: str | Path, inputs: list[str | Path], settings: dict) -> Path:
+    """What a comparison read, byte for byte, and how it was set."""
+    from ..functions.scalars import stable_hash
+
+    return write_json(Path(folder) / "comparison_manifest.json", {"inputs": [file_fingerprint(p) for p in inputs], "settings": settings, "settings_hash": stable_hash(settings)})
