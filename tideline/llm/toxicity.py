@@ -36,8 +36,8 @@ class Settings:
     sample_bytes: int = 32768  # of each of them, at most, in evenly spaced slices
     gram: int = 5
     windows: tuple[int, ...] = (100, 56)
-    ordinary_bytes: int = 16384
-    toxic_bytes: int = 4096
+    ordinary_bytes: int = 24576
+    toxic_bytes: int = 2048
     divisor: int = 4
     held: int = 2
     threshold: float = 0.3
