@@ -637,48 +637,48 @@ def lag_design(spark, sf):
 # Kernels -------------------------------------------------------------------------------------------------------------
 
 
-def growth_rows(spark, sf, variables: tuple[str, ...]):
-    """(row_idx, variable, value) over the months that all variables have."""
-    g = D.growth(spark, sf).filter(F.col("variable").isin(list(variables)))
-    whole = g.groupBy("m").agg(F.count(F.lit(1)).alias("k")).filter(F.col("k") == len(variables)).select("m", (F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("m")) - 1).alias("row_idx"))
-    return g.join(whole, "m").select("row_idx", "variable", F.col("y").alias("value"))
-
+def growth_study(spark, sf, **settings) -> tuple[DataFrame, experiment.Study]:
+    """(row_idx, variable, value) of every series over the months that all series have, and a study of all of them.
 
-STUDY = experiment.Study(variables=("1-URGENT", "2-HIGH", "5-LOW"))
+    Orders without a priority belong to no series.
+    """
+    g = D.growth(spark, sf).filter("variable is not null").persist()  # the names and the rows read it
+    variables = tuple(r.variable for r in g.select("variable").distinct().orderBy("variable").collect())  # columns of one regression
+    whole = g.groupBy("m").agg(F.count(F.lit(1)).alias("k")).filter(F.col("k") == len(variables)).select("m", (F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("m")) - 1).alias("row_idx"))
+    return g.join(whole, "m").select("row_idx", "variable", F.col("y").alias("value")), experiment.Study(variables=variables, **settings)
 
 
 @query()
 def ridge_scope_selections(spark, sf):
-    return experiment.scope_grid(growth_rows(spark, sf, STUDY.variables), STUDY)[0]
+    return experiment.scope_grid(*growth_study(spark, sf))[0]
 
 
 @query()
 def ridge_scope_forecasts(spark, sf):
-    return experiment.scope_grid(growth_rows(spark, sf, STUDY.variables), STUDY)[1]
+    return experiment.scope_grid(*growth_study(spark, sf))[1]
 
 
 @query()
 def ridge_direct_forecasts(spark, sf):
-    study = experiment.Study(variables=STUDY.variables, every=2, method="direct")
-    return experiment.scope_grid(growth_rows(spark, sf, study.variables), study)[1]
+    return experiment.scope_grid(*growth_study(spark, sf, every=2, method="direct"))[1]
 
 
 @query()
 def benchmark_forecasts(spark, sf):
-    return experiment.benchmarks(growth_rows(spark, sf, STUDY.variables), STUDY)
+    return experiment.benchmarks(*growth_study(spark, sf))
 
 
 @query()
 def bayesian_forecasts(spark, sf):
-    draws = experiment.bayesian_forecasts(growth_rows(spark, sf, STUDY.variables), STUDY, draws=60)
+    draws = experiment.bayesian_forecasts(*growth_study(spark, sf), draws=60)
     return vintage.summaries(draws.filter("error is null"), ["origin", "variable", "horizon"])
 
 
 @query()
 def bayesian_scope_forecasts(spark, sf):
     """The same nested plan with another kernel: shrinkage lam, unit-root weight alpha and sum-of-coefficients weight kappa."""
-    study = experiment.Study(variables=STUDY.variables, scopes=("pooled", "variable"), lam=(0.1, 0.2, 0.5), p=(2,), alpha=(1.0, 5.0), kappa=(1.0,), kernel=bvar.forecast)
-    return experiment.scope_grid(growth_rows(spark, sf, study.variables), study)[1]
+    settings = {"scopes": ("pooled", "variable"), "lam": (0.1, 0.2, 0.5), "p": (2,), "alpha": (1.0, 5.0), "kappa": (1.0,), "kernel": bvar.forecast}
+    return experiment.scope_grid(*growth_study(spark, sf, **settings))[1]
 
 
 # Everything that a comparison reports, in one table: its parts by name.
