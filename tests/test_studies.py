@@ -1,8 +1,10 @@
 """The registered studies take part with every series of the table."""
 
+import math
+
 import pytest
 
-from tideline.plans.queries import QUERIES
+from tideline.plans.queries import GRID, QUERIES, predictive_summaries
 
 from .conftest import MEDIUM
 
@@ -16,3 +18,16 @@ def test_every_series_is_forecast(spark, name):
 def test_every_series_is_selected_for(spark):
     cells = {r.cell_id for r in QUERIES["ridge_scope_selections"](spark, MEDIUM).filter("scope = 'variable'").collect()}
     assert cells == {"variable-1-urgent", "variable-2-high", "variable-3-medium", "variable-4-not-specified", "variable-5-low"}
+
+
+def test_studies_run_at_full_size(spark):
+    assert math.prod(map(len, GRID.values())) == 108
+    rows = QUERIES["bayesian_forecasts"](spark, MEDIUM).collect()
+    assert len(rows) == 8 * 5 * 4 and all(r.n_draws == 2000 and r.error is None and r.p05 < r.median < r.p95 for r in rows)
+
+
+def test_failing_origins_stay_as_rows(spark):
+    draws = spark.createDataFrame([(7, 0, "a", 1, 2.0, None), (7, 1, "a", 1, 4.0, None), (8, None, None, None, None, "LinAlgError: singular")], "origin int, draw int, variable string, horizon int, value double, error string")
+    got = {r.origin: r for r in predictive_summaries(draws).collect()}
+    assert (got[7].mean, got[7].n_draws, got[7].error) == (3.0, 2, None)
+    assert (got[8].mean, got[8].n_draws, got[8].error) == (None, 0, "LinAlgError: singular")
