@@ -2,11 +2,15 @@
 
 import math
 
+import numpy as np
 import pytest
 
+from tideline.kernels import ridge
+from tideline.plans import experiment
 from tideline.plans.queries import GRID, QUERIES, predictive_summaries
 
 from .conftest import MEDIUM
+from .test_kernels import long_panel, var1
 
 
 @pytest.mark.parametrize("name", ["ridge_scope_forecasts", "ridge_direct_forecasts", "benchmark_forecasts", "bayesian_forecasts", "bayesian_scope_forecasts"])
@@ -31,3 +35,19 @@ def test_failing_origins_stay_as_rows(spark):
     got = {r.origin: r for r in predictive_summaries(draws).collect()}
     assert (got[7].mean, got[7].n_draws, got[7].error) == (3.0, 2, None)
     assert (got[8].mean, got[8].n_draws, got[8].error) == (None, 0, "LinAlgError: singular")
+
+
+def test_nested_lag_equals_a_plain_loop(spark):
+    y = var1(60, 5)
+    study = experiment.Study(variables=("gdp", "inv", "cons"), horizons=(1, 2), n_outer=2, n_inner=3)
+    got = experiment.benchmarks(long_panel(spark, y), study, experiment.BENCHMARKS).collect()
+    assert {r.model for r in got} == set(experiment.BENCHMARKS) and len(got) == 5 * 2 * 2 * 3
+    for r in (r for r in got if r.model == "var_nested_loss"):
+        losses = []
+        for p in (1, 2, 3, 4):
+            fits = [(o, ridge.forecast(y[: o + 1], p, 0.0, 0.0, 1.0, [1, 2])) for o in range(r.origin - 4, r.origin - 1)]
+            losses.append((np.mean([(f[i] - y[o + h]) ** 2 for o, f in fits for i, h in enumerate((1, 2))]), p))
+        assert r.lag == min(losses)[1]
+        assert r.forecast == pytest.approx(ridge.forecast(y[: r.origin + 1], r.lag, 0.0, 0.0, 1.0, [r.horizon])[0, study.variables.index(r.variable)])
+    with pytest.raises(ValueError, match="no benchmark"):
+        ridge.benchmark(y, "var_other", [1])

@@ -117,7 +117,10 @@ def information_criteria(y: np.ndarray, p: int) -> tuple[float, float]:
     return logdet + 2 * k / len(x), logdet + np.log(len(x)) * k / len(x)
 
 
-def benchmark(y: np.ndarray, kind: str, horizons: list[int], max_lag: int = 4) -> tuple[np.ndarray | None, int]:
+MAX_LAG = 4  # of the benchmarks
+
+
+def benchmark(y: np.ndarray, kind: str, horizons: list[int], max_lag: int = MAX_LAG) -> tuple[np.ndarray | None, int]:
     """no_change, var_aic, var_bic or ar_univariate; (forecasts, chosen lag)."""
     if kind == "no_change":
         return np.repeat(y[-1:], len(horizons), axis=0), 0
@@ -128,6 +131,8 @@ def benchmark(y: np.ndarray, kind: str, horizons: list[int], max_lag: int = 4) -
             lag = min(range(1, max_lag + 1), key=lambda p: (information_criteria(one, p)[1], p))
             parts.append(forecast(one, lag, 0.0, 0.0, 1.0, horizons))
         return (None if any(p is None for p in parts) else np.hstack(parts)), 0
+    if kind not in ("var_aic", "var_bic"):
+        raise ValueError(f"no benchmark {kind}")
     which = 0 if kind == "var_aic" else 1
     usable = [p for p in range(1, max_lag + 1) if len(y) - p > 1 + p * y.shape[1]] or [1]
     lag = min(usable, key=lambda p: (information_criteria(y, p)[which], p))

@@ -9,7 +9,7 @@ can't be fitted gives no row, and errors come back as rows.
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pandas as pd
@@ -106,10 +106,20 @@ def scope_grid(panel: DataFrame, study: Study) -> tuple[DataFrame, DataFrame]:
     return selections, panel_out.select("scope", "cell_id", "event_id", "candidate", "origin", "target", "variable", "horizon", "forecast", "actual", "error")
 
 
+BENCHMARKS = ("no_change", "var_aic", "var_bic", "var_nested_loss", "ar_univariate")
+
+
 def benchmarks(panel: DataFrame, study: Study, kinds: tuple[str, ...] = ("no_change", "var_aic", "var_bic", "ar_univariate")) -> DataFrame:
-    """(model, origin, variable, horizon, forecast, lag) of the benchmarks at the outer origins."""
+    """(model, origin, variable, horizon, forecast, lag) of the benchmarks at the outer origins.
+
+    ``var_nested_loss`` is a least-squares VAR whose lag has the smallest loss
+    in the inner splits before each origin; the others look at the window alone.
+    """
     ship(panel.sparkSession)
     spark, variables, horizons = panel.sparkSession, list(study.variables), list(study.horizons)
+    if unknown := set(kinds) - set(BENCHMARKS):
+        raise ValueError(f"no benchmark {', '.join(sorted(unknown))}")
+    simple = [k for k in kinds if k != "var_nested_loss"]
     panel = panel.filter(F.col("variable").isin(variables))
     last = panel.agg(F.max("row_idx")).first()[0]
     origins = literal_table(spark, [(last - max(horizons) - k,) for k in range(study.n_outer)], "origin int")
@@ -118,13 +128,19 @@ def benchmarks(panel: DataFrame, study: Study, kinds: tuple[str, ...] = ("no_cha
     def one(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         y = rows.pivot(index="row_idx", columns="variable", values="value").sort_index()[variables].to_numpy(float)
         out = []
-        for kind in kinds:
+        for kind in simple:
             got, lag = ridge.benchmark(y, kind, horizons)
             if got is not None:
                 out += [(kind, int(key[0]), v, h, float(got[i, j]), lag) for i, h in enumerate(horizons) for j, v in enumerate(variables)]
         return pd.DataFrame(out, columns=[c.split()[0] for c in schema.split(", ")])
 
-    return origins.join(panel, F.col("row_idx") <= F.col("origin")).groupBy("origin").applyInPandas(one, schema)
+    found = origins.join(panel, F.col("row_idx") <= F.col("origin")).groupBy("origin").applyInPandas(one, schema)
+    if "var_nested_loss" not in kinds:
+        return found
+    nested = replace(study, scopes=("pooled",), lam=(0.0,), p=tuple(range(1, ridge.MAX_LAG + 1)), alpha=(0.0,), kappa=(1.0,), every=1, method="iterated", kernel=None)
+    selections, forecasts = scope_grid(panel, nested)
+    chosen = forecasts.join(selections.select("event_id", F.col("p").cast("int").alias("lag")), "event_id")
+    return found.unionByName(chosen.select(F.lit("var_nested_loss").alias("model"), "origin", "variable", "horizon", "forecast", "lag"))
 
 
 def bayesian_forecasts(panel: DataFrame, study: Study, lags: int = 2, draws: int = 200, hyperparameters: str = "mode", seed: int = 0) -> DataFrame:

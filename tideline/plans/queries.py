@@ -669,7 +669,7 @@ def ridge_direct_forecasts(spark, sf):
 
 @query()
 def benchmark_forecasts(spark, sf):
-    return experiment.benchmarks(*growth_study(spark, sf))
+    return experiment.benchmarks(*growth_study(spark, sf), experiment.BENCHMARKS)
 
 
 def predictive_summaries(draws: DataFrame) -> DataFrame:
