@@ -20,7 +20,7 @@ def duplicate_keys(df: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def inconsistent_actuals(panel: DataFrame, keys: list[str], actual: str = "actual", tolerance: float = 1e-6) -> DataFrame:
-    return panel.groupBy(*keys).agg(F.min(actual).alias("least"), F.max(actual).alias("greatest")).filter(F.col("greatest") - F.col("least") > tolerance)
+    return panel.groupBy(*keys).agg(F.min(actual).alias("least"), F.max(actual).alias("greatest"), F.count(F.lit(1)).alias("n")).filter(F.col("greatest") - F.col("least") > tolerance)
 
 
 def vintage_violations(panel: DataFrame) -> DataFrame:

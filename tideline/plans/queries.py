@@ -153,7 +153,7 @@ def scope_contrasts(spark, sf):
 @query(C + "SELECT variable, horizon, max(actual) - min(actual) AS spread, count(*) AS n FROM panel GROUP BY variable, horizon, origin HAVING max(actual) - min(actual) > 0.000001")
 def realisation_consistency(spark, sf):
     bad = checks.inconsistent_actuals(D.panel(spark, sf), ["variable", "horizon", "forecast_origin"])
-    return bad.select("variable", "horizon", (F.col("greatest") - F.col("least")).alias("spread"), F.lit(0).cast("long").alias("n"))
+    return bad.select("variable", "horizon", (F.col("greatest") - F.col("least")).alias("spread"), "n")
 
 
 @query("SELECT l_orderkey, l_suppkey, count(*) AS n_rows FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1")
