@@ -4,13 +4,16 @@ Unit vectors are centred, projected on principal axes and rotated so that
 their signs lose least (iterative quantisation on a bounded sample); the signs
 are balanced binary codes. The code is cut into substrings, each the key of a
 hash table, beside the label. Two vectors are candidates if they agree in at
-least one substring and differ in at most ``radius`` bits in all. At a cosine
-of 0.98 a bit differs with a chance of about 0.064, so with substrings of
-``chunk`` bits a pair is missed with a chance of (1 - 0.936^chunk)^tables. The
-substring grows with the logarithm of the largest label's rows, which keeps
-buckets small, and the tables with it, so that about one in a thousand pairs at
-the very threshold is missed, and fewer above. Candidates are reranked with the original vectors in double precision, so no
-pair below the threshold is linked.
+least one substring, however many bits they differ in. A bit of a pair at angle
+a seen from the centre differs with a chance of about a / pi (0.064 at a cosine
+of 0.98 and a centre of 0), so with substrings of ``chunk`` bits the pair is
+missed with a chance of (1 - (1 - a / pi)^chunk)^tables. The substring grows
+with the logarithm of the largest label's rows, which keeps buckets small, and
+the tables with it, so that over the sample about one in a thousand pairs at
+the very threshold is missed, and fewer above. Pairs near the centre are seen
+at a wider angle; where that would take more than twice the tables, codes are
+not centred and their buckets are larger. Candidates are reranked with the
+original vectors in double precision, so no pair below the threshold is linked.
 
 Equal vectors of a label are merged first, so copies cost one row; merged rows
 count each other as links. A pair that meets in several tables is counted in
@@ -42,9 +45,9 @@ SAMPLE = 8192  # vectors that the rotation is learned from, at most
 BLOCK = 1500  # members of a bucket that one task compares directly
 
 
-def learn_rotation(x: np.ndarray, rounds: int = 30, seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
+def learn_rotation(x: np.ndarray, rounds: int = 30, seed: int = 11, centred: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """(centre, matrix): codes are the signs of (unit - centre) @ matrix, as many bits as dimensions."""
-    centre = x.mean(axis=0)
+    centre = x.mean(axis=0) if centred else np.zeros(x.shape[1])
     d = x - centre
     _, axes = np.linalg.eigh(d.T @ d)
     v = d @ axes
@@ -62,18 +65,23 @@ def units(x: np.ndarray) -> np.ndarray:
     return y / np.sqrt(np.einsum("ij,ij->i", y, y))[:, None]
 
 
-def tables_for(bits: int, chunk: int, threshold: float, miss: float = 0.001) -> np.ndarray:
-    """(table, chunk) bit places: neighbouring substrings of the code, then of shuffled orders of its bits."""
-    chunk = min(chunk, bits)
-    agree = (1 - np.arccos(np.clip(threshold, -1, 1)) / np.pi) ** chunk
-    count = max(1, bits // chunk, int(np.ceil(np.log(miss) / np.log1p(-agree)))) if agree < 1 else 1
+def tables_needed(squares: np.ndarray, chunk: int, threshold: float, most: int, miss: float = 0.001) -> int:
+    """Tables, ``most`` + 1 at most, that miss a share ``miss`` of pairs at the threshold, for squared distances of unit vectors to the centre."""
+    possible = squares[2 * squares >= 1 - threshold]  # nearer to the centre no pair is so far apart
+    agree = (1 - np.arccos(np.clip(1 - (1 - threshold) / np.maximum(possible, 1e-300), -1, 1)) / np.pi) ** chunk
+    return next((n for n in range(1, most + 1) if not len(agree) or ((1 - agree) ** n).mean() <= miss), most + 1)
+
+
+def tables_for(bits: int, chunk: int, threshold: float, count: int) -> np.ndarray:
+    """(table, chunk) bit places, ``count`` or as many as the code has: neighbouring substrings of the code, then of shuffled orders of its bits."""
+    count = max(count, bits // chunk) if threshold < 1 else 1
     rng, orders = np.random.default_rng(3), [np.arange(bits)]
     while sum(len(o) // chunk for o in orders) < count:
         orders.append(rng.permutation(bits))
     return np.concatenate([o[: len(o) // chunk * chunk].reshape(-1, chunk) for o in orders])[:count]
 
 
-def compare(keys, table, keymatrix, codes, unit, weight, ids, threshold: float, radius: int, own, whole):
+def compare(keys, table, keymatrix, unit, weight, ids, threshold: float, own, whole):
     """Partial link counts and a forest over sorted groups.
 
     ``keys`` number the groups (sorted), ``table`` is each row's table number,
@@ -96,8 +104,6 @@ def compare(keys, table, keymatrix, codes, unit, weight, ids, threshold: float,
             j = i + step
             meant = whole[i] | (own[i] != own[j])
             i, j = i[meant], j[meant]
-            near = np.bitwise_count(codes[i] ^ codes[j]).sum(axis=1) <= radius
-            i, j = i[near], j[near]
             new = (keymatrix[i] == keymatrix[j]).argmax(axis=1) == table[i]
             i, j = i[new], j[new]
             linked = np.einsum("ij,ij->i", unit[i], unit[j]) >= threshold
@@ -117,7 +123,7 @@ def compare(keys, table, keymatrix, codes, unit, weight, ids, threshold: float,
     return counts, ids[parent]
 
 
-def duplicates(vectors: DataFrame, threshold: float = 0.98, chunk: int | None = None, radius: int = 20, block: int = BLOCK) -> DataFrame:
+def duplicates(vectors: DataFrame, threshold: float = 0.98, chunk: int | None = None, block: int = BLOCK) -> DataFrame:
     """vec_id, n_links, component_id, kept of every row."""
     spark = vectors.sparkSession
     rows = usable(vectors, ["label"]).filter("label is not null")
@@ -129,9 +135,13 @@ def duplicates(vectors: DataFrame, threshold: float = 0.98, chunk: int | None =
     merged = durable(rows.groupBy("label", "v").agg(F.count(F.lit(1)).alias("weight"), F.min("vec_id").alias("node")).withColumn("class_id", F.monotonically_increasing_id()))
     by_label = merged.groupBy("label").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("largest"), F.sum("n").alias("total")).first()
     sample = matrix([bytes(r.v) for r in hash_sample(merged, ["label", "v"], SAMPLE, by_label.total).select("v").collect()])
-    centre, rotation = learn_rotation(units(sample))
-    bits = rotation.shape[1]
-    places = tables_for(bits, chunk or int(np.clip(np.ceil(np.log2(by_label.largest / 64)), 8, 24)), threshold)
+    known = units(sample)
+    bits = known.shape[1]
+    chunk = min(chunk or int(np.clip(np.ceil(np.log2(by_label.largest / 64)), 8, 24)), bits)
+    raw = tables_needed(np.ones(1), chunk, threshold, 1 << 20)
+    centred = tables_needed(((known - known.mean(axis=0)) ** 2).sum(axis=1), chunk, threshold, 2 * raw)
+    centre, rotation = learn_rotation(known, centred=centred <= 2 * raw)
+    places = tables_for(bits, chunk, threshold, centred if centred <= 2 * raw else raw)
     count = len(places)
 
     def encode(batch):
@@ -141,20 +151,19 @@ def duplicates(vectors: DataFrame, threshold: float = 0.98, chunk: int | None =
         keys = (code[:, places] * powers).sum(axis=2)
         n, order = len(u), np.tile(np.arange(count), len(u))
         take = pa.array(np.repeat(np.arange(n), count))
-        packed = np.packbits(code, axis=1)
         return {name: batch.column(name).take(take) for name in ("label", "class_id", "weight")} | {
-            "t": order, "key": keys.reshape(-1), "code": pa.array([p.tobytes() for p in packed]).take(take), "keys": pa.array([k.tobytes() for k in keys]).take(take), "unit": pa.array([x.tobytes() for x in u]).take(take),
+            "t": order, "key": keys.reshape(-1), "keys": pa.array([k.tobytes() for k in keys]).take(take), "unit": pa.array([x.tobytes() for x in u]).take(take),
         }
 
     kind = dict(merged.dtypes)["label"]
-    coded = arrow_map(merged.select("label", "v", "class_id", "weight"), encode, f"label {kind}, class_id long, weight long, t int, key long, code binary, keys binary, unit binary")
+    coded = arrow_map(merged.select("label", "v", "class_id", "weight"), encode, f"label {kind}, class_id long, weight long, t int, key long, keys binary, unit binary")
     # Bucket sizes need no vectors: counted by an aggregate, joined back to deal out the large ones.
     sizes = coded.groupBy("label", "t", "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").withColumn("g", F.ceil(F.col("n") / block).cast("int")).drop("n")
     dealt = (
         coded.join(sizes, ["label", "t", "key"])
         .withColumn("own", F.pmod(F.xxhash64("class_id"), F.col("g")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
-        .select("label", "t", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "class_id", "weight", "code", "keys", "unit")
+        .select("label", "t", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "class_id", "weight", "keys", "unit")
     )
     group = ["label", "t", "key", "i", "j"]
     sorted_rows = dealt.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), *group).sortWithinPartitions(*group, "own")
@@ -167,9 +176,8 @@ def duplicates(vectors: DataFrame, threshold: float = 0.98, chunk: int | None =
             key = np.stack([t.column(c).to_numpy().astype(np.int64) for c in group])
             keys = np.cumsum(np.r_[False, (key[:, 1:] != key[:, :-1]).any(axis=0)])
             ids, weight, own = (t.column(c).to_numpy() for c in ("class_id", "weight", "own"))
-            codes = np.frombuffer(b"".join(t.column("code").to_pylist()), np.uint8).reshape(len(ids), -1)
             keymatrix = np.frombuffer(b"".join(t.column("keys").to_pylist()), np.int64).reshape(len(ids), -1)
-            links, root = compare(keys, key[1], keymatrix, codes, matrix(t.column("unit")), weight, ids, threshold, radius, own, key[3] == key[4])
+            links, root = compare(keys, key[1], keymatrix, matrix(t.column("unit")), weight, ids, threshold, own, key[3] == key[4])
             some = links > 0
             return pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(root[some]), pa.array(links[some])], schema=schema)
 
