@@ -12,7 +12,8 @@ Character references are decoded, white space inside a block becomes one space,
 and the kept blocks are joined by a line feed; nothing else is dropped or
 capped. Scripts, styles, comments and markup never make blocks. Null html
 counts as empty and gives the empty text. Text outside any element is a block
-too. Unclosed and misplaced tags are tolerated. Memory follows a batch of
+too. A script or style without an end tag drops its start tag only. Unclosed and
+misplaced tags are tolerated. Memory follows a batch of
 pages; a page's length only adds steps.
 """
 
@@ -36,7 +37,8 @@ INPUT = PATH + WORDS + SIZES
 # Elements by their role in HTML.
 BREAKING = frozenset("address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre section select summary table tbody td textarea tfoot th thead title tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template iframe svg math object".split())
+RAW = frozenset("script style".split())
+EMBEDDED = frozenset("noscript template iframe svg object".split())  # may stand inside a paragraph; their blocks are judged by their path
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 SCOPES = frozenset("ul ol dl table select body html article section div".split())
 
@@ -107,7 +109,16 @@ def blocks(page: str | None) -> tuple[list[str], np.ndarray, np.ndarray]:
         if tag in RAW:
             if not ending and not attributes.endswith("/"):
                 end = re.compile(rf"(?i)</{re.escape(tag)}\s*>").search(page, at)
-                at = end.end() if end else len(page)
+                at = end.end() if end else at
+            continue
+        if tag in EMBEDDED:
+            flush()
+            if ending:
+                if tag in names:
+                    close(len(names) - 1 - names[::-1].index(tag))
+            elif not attributes.endswith("/"):
+                names.append(tag)
+                vectors.append(vectors[-1] + element_vector(tag, attributes))
             continue
         if tag in BREAKING:
             flush()
