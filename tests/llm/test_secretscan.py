@@ -66,3 +66,53 @@ def test_query_equals_brute_force(spark):
         line = ",".join(f"{('assign', 'access', 'hex')[k]}:{a}:{b}" for a, k, b in base)
         assert r.base_sha256 == hashlib.sha256(line.encode()).hexdigest()
         assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(k == i for _, k, _ in base) for i in range(3))
+
+
+def test_no_reach_is_bounded():
+    lit = "S3cr-t9!xQz"
+    assert named("my_pwd" + " " * 4000 + f'= "{lit}"') == [lit]
+    assert named("password_" + "x" * 4000 + f' = "{lit}"') == [lit]
+    chain = f'k0 = "{lit}"\n' + "".join(f"k{i} = k{i - 1}\n" for i in range(1, 3000)) + "auth_token = k2999\n"
+    assert named(chain) == [lit]
+
+
+def test_every_binding_counts_and_sums_may_be_open():
+    assert named('k = "kJ8sd7Ghq2LmNx"; secret_v = k; k = "plain"') == ["kJ8sd7Ghq2LmNx"]
+    assert named('k = "kJ8sd7Ghq2LmNx"\nsecret_v = k\nk = "Zp0aa81kkQp02Lm"\nsecret_w = k\n') == ["kJ8sd7Ghq2LmNx", "Zp0aa81kkQp02Lm"]
+    assert named('pwd = "S3cr-t9!xQz" + suffix') == ["S3cr-t9!xQz"]
+    assert named('a = "kJ8s" + b\nb = "d7Gh" + a\npwd = a + "x9Z!"') == ["kJ8s", "d7Gh", "x9Z!"]
+
+
+def test_hostile_texts_take_linear_time():
+    import time
+
+    levels = "".join(f"k{i} = k{i - 1} + k{i - 1} + k{i - 1} + k{i - 1}\n" for i in range(1, 16))
+    texts = [
+        'k0 = "kJ8sd7Gh"\n' + levels + "pwd = k15\n", "a=" * 200_000, "password=" * 60_000, "x" * 500_000, "_" * 300_000 + " " * 300_000, 'pwd = KEY\nKEY = "kJ8sd7Ghq2LmNx"\n' * 5_000,
+        'a="' * 100_000, "token=abcdefghijkl " * 20_000, "your_=" * 50_000, "".join(f"k{i} = k{i - 1}\n" for i in range(20_000)) + "pwd = k19999\n",
+    ]
+    for t in texts:
+        began = time.perf_counter()
+        S.scan(t)
+        assert time.perf_counter() - began < 5, t[:40]
+
+
+def test_suffix_strengths_equal_the_plain_ones():
+    t = "x password=Zk3=token=q8!w=secret=L0pQ9zz end"
+    found = S.assignments(t)
+    for (a, b), s in S._bare_strengths(t, found).items():
+        assert abs(s - S.strength(t[a:b])) < 1e-9
+    assert len(S._bare_strengths(t, found)) == 2
+
+
+def test_base_counts_equal_sql(spark):
+    """The counts of the base kinds, by SQL over the same table."""
+    import duckdb
+
+    path = "/root/testdata/sf0.01/documents.parquet"
+    count = lambda pattern, least, group: f"len(list_filter(regexp_extract_all(coalesce(text, ''), '{pattern}', {group}), x -> length(x) >= {least}))"
+    assign = r"""(?i:password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
+    sql = f"SELECT doc_id, {count(assign, 12, 1)}, {count('(AKIA[A-Z0-9]+)', 18, 1)}, {count('([0-9a-f]+)', 16, 1)} FROM '{path}'"
+    want = {r[0]: r[1:] for r in duckdb.sql(sql).fetchall()}
+    got = {r.doc_id: (r.n_assign, r.n_access, r.n_hex) for r in S.find_secrets(spark.read.parquet(path)).collect()}
+    assert got == want and sum(sum(v) for v in want.values()) > 100

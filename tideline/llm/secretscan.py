@@ -10,17 +10,25 @@ it looks like a credential; those that pass are spans of the kind ``named``,
 which lie where the literal is written. A named span inside an ``assign``
 match is not added again.
 
+Nothing bounds the length of a name, of the space before a separator, or of a
+chain of constants; a name that is bound several times passes its weight to
+each literal, and a sum with unknown parts is scored by the parts it shows.
+
 Null text counts as empty, and an empty text has no span. Offsets are code
-points, the end exclusive. Memory follows one text. Repeated rows are scanned
-alike, and ids may be null or repeated.
+points, the end exclusive. Memory and time are linear in one text, hostile ones
+included. Repeated rows are scanned alike, and ids may be null or repeated. An
+empty table gives no rows. Extra columns are ignored by :func:`find_secrets`
+and kept by :func:`redacted`, whatever their names.
 """
 
 from __future__ import annotations
 
+import bisect
+import functools
 import hashlib
 import math
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -43,15 +51,20 @@ SENSITIVE = {
     "auth": 0.6, "authorization": 0.7, "bearer": 0.8, "pass": 0.7, "privatekey": 1.0, "accesskey": 1.0, "secretkey": 1.0, "signature": 0.5, "salt": 0.5, "jwt": 0.8, "dsn": 0.5,
 }
 JOINED = {("api", "key"): 1.0, ("private", "key"): 1.0, ("access", "key"): 1.0, ("client", "key"): 0.8, ("encryption", "key"): 1.0, ("signing", "key"): 1.0, ("account", "key"): 0.8, ("master", "key"): 0.9, ("ssh", "key"): 0.9}
-PLACEHOLDER = re.compile(r"(?i)^(?:change_?me|example|sample|your[_-].*|my[_-]?(?:password|token|secret)|x+|\*+|\.+|none|null|nil|true|false|todo|test|placeholder|redacted|\$\{.*|<.*>|%.*%)$")
-
-_SEPARATOR = re.compile(r":=|=>|[=:]")
-_NAME = re.compile(r"""([A-Za-z_][\w.-]*)["'\])]{0,2}[ \t]*\Z""")
-_TERM = re.compile(r"""[ \t]*+(?:"((?:[^"\\\n]|\\.)*+)"|'((?:[^'\\\n]|\\.)*+)'|`([^`\n]*+)`|([A-Za-z_][\w.]*+)(?![\w+/=-])|([^\s"'`,;<>(){}\[\]|&]++))""")
+# What stands in for a secret in examples and templates.
+PLACEHOLDERS = frozenset("changeme change_me change-me example sample none null nil true false todo test placeholder redacted".split())
+_STAND_IN = re.compile(r"(?i)(?:your[_-]|my[_-]?(?:password|token|secret)\Z|\$\{|<.*>\Z|%.*%\Z|x+\Z|\*+\Z|\.+\Z)", re.S)
+
+_TARGET = re.compile(r"""(?<![\w.-])([\w.-]++)["'\])]{0,2}+[ \t]*+(?::=|=>|[=:])""")
+_FIRST_LETTER = re.compile(r"[A-Za-z_]")
+_TERM = re.compile(r"""[ \t]*+(?:"((?:[^"\\\n]|\\.)*+)"|'((?:[^'\\\n]|\\.)*+)'|`([^`\n]*+)`|([A-Za-z_][\w.]*+)(?=[\s"'`,;<>(){}\[\]|&]|\Z)|(?=([^\s"'`,;<>(){}\[\]|&])))""")
+_BARE_END = re.compile(r"""[\s"'`,;<>(){}\[\]|&]""")
 _PLUS = re.compile(r"[ \t]*+\+")
 _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+")
+LEAST_WEIGHT = 0.5  # names below this are not sensitive
 
 
+@functools.lru_cache(maxsize=20_000)
 def sensitivity(name: str) -> float:
     """0 to 1, by the words of a name in snake, kebab, dotted or camel case; the last dotted part counts."""
     words = [w.lower() for w in _PARTS.findall(name.rsplit(".", 1)[-1])]
@@ -59,73 +72,205 @@ def sensitivity(name: str) -> float:
     return max([single, *(JOINED.get(p, 0.0) for p in zip(words, words[1:]))])
 
 
+def _kind(c: str) -> int:
+    return 1 if "a" <= c <= "z" else 2 if "A" <= c <= "Z" else 4 if "0" <= c <= "9" else 16 if c.isspace() else 8
+
+
+class Value:
+    """What the strength of a literal, or of a sum of literals, depends on: its characters' counts."""
+
+    __slots__ = ("n", "counts", "kinds")
+
+    def __init__(self, text: str = ""):
+        self.n, self.counts, self.kinds = len(text), Counter(text), 0
+        for c in self.counts:
+            self.kinds |= _kind(c)
+
+    def add(self, other: Value) -> None:
+        self.n += other.n
+        self.counts.update(other.counts)
+        self.kinds |= other.kinds
+
+    def strength(self) -> float:
+        level = sum(c * math.log2(c) for c in self.counts.values()) / self.n if self.n else 0.0
+        return _strength(self.n, math.log2(self.n) - level if self.n else 0.0, self.kinds)
+
+
+def _strength(n: int, entropy: float, kinds: int) -> float:
+    """0 to 1: how much n characters of this entropy (bits each) look like a credential; none with white space do."""
+    if n < 8 or kinds & 16:
+        return 0.0
+    several = (kinds & 15).bit_count()
+    return min(1.0, min(1.0, entropy / 4) * (0.4 + 0.2 * several if several > 1 else 0.4))
+
+
+def stands_in(text: str) -> bool:
+    return text.lower() in PLACEHOLDERS or bool(_STAND_IN.match(text))
+
+
 def strength(literal: str) -> float:
     """0 to 1: how much a literal looks like a credential."""
-    n = len(literal)
-    if n < 8 or PLACEHOLDER.match(literal) or any(c.isspace() for c in literal):
-        return 0.0
-    entropy = -sum(c / n * math.log2(c / n) for c in Counter(literal).values())
-    kinds = sum(bool(re.search(p, literal)) for p in ("[a-z]", "[A-Z]", "[0-9]", "[^A-Za-z0-9]"))
-    return min(1.0, entropy / 4) * (0.4 + 0.2 * kinds if kinds > 1 else 0.4)
+    return 0.0 if stands_in(literal) else Value(literal).strength()
+
+
+class Assignment:
+    """A name and the terms of its right side: (kind, start, end), kind ``literal``, ``name`` or ``bare``."""
 
+    __slots__ = ("name", "terms")
 
-def assignments(text: str) -> list[tuple[str, list[tuple[str, str, int, int]]]]:
-    """(name, terms) of each assignment; a term is (kind, value, start, end), kind ``literal``, ``name`` or ``bare``."""
-    found = []
-    for m in _SEPARATOR.finditer(text):
-        left = _NAME.search(text, max(0, m.start() - 128), m.start())
-        if not left:
+    def __init__(self, name: str, terms: list[tuple[str, int, int]]):
+        self.name, self.terms = name, terms
+
+
+def assignments(text: str) -> list[Assignment]:
+    """All assignments in order. Time is linear in the text: a bare run that holds many separators is measured once."""
+    found, run_end = [], 0
+    for m in _TARGET.finditer(text):
+        first = _FIRST_LETTER.search(text, m.start(1), m.end(1))
+        if not first:
             continue
         terms, at = [], m.end()
-        while True:
-            t = _TERM.match(text, at)
-            if not t:
-                break
+        while t := _TERM.match(text, at):
             g = t.lastindex
-            terms.append(("literal" if g <= 3 else "name" if g == 4 else "bare", t[g], t.start(g), t.end(g)))
+            if g == 5:
+                if t.end() >= run_end:
+                    stop = _BARE_END.search(text, t.end())
+                    run_end = stop.start() if stop else len(text)
+                terms.append(("bare", t.end(), run_end))
+                break  # a bare value reaches to the next delimiter, so no plus follows it
+            terms.append(("literal" if g <= 3 else "name", t.start(g), t.end(g)))
             plus = _PLUS.match(text, t.end())
             if not plus:
                 break
             at = plus.end()
         if terms:
-            found.append((left[1], terms))
+            found.append(Assignment(text[first.start() : m.end(1)], terms))
     return found
 
 
+def _bare_strengths(text: str, found: list[Assignment]) -> dict[tuple[int, int], float]:
+    """Strength of the bare values of sensitive names; those that end together are suffixes of one run and take one pass."""
+    runs: dict[int, list[int]] = defaultdict(list)
+    for a in found:
+        if a.terms[-1][0] == "bare" and sensitivity(a.name) >= LEAST_WEIGHT:
+            runs[a.terms[-1][2]].append(a.terms[-1][1])
+    out = {}
+    for end, starts in runs.items():
+        counts: Counter = Counter()
+        total, kinds, at = 0.0, 0, end
+        for start in sorted(set(starts), reverse=True):
+            for c in reversed(text[start:at]):
+                k = counts[c] = counts[c] + 1
+                total += k * math.log2(k) - ((k - 1) * math.log2(k - 1) if k > 1 else 0.0)
+                kinds |= _kind(c)
+            at, n = start, end - start
+            short = n <= 64 and stands_in(text[start:end]) or text[start : start + 5].lower() in ("your_", "your-") or text.startswith("${", start)
+            out[start, end] = 0.0 if short else _strength(n, math.log2(n) - total / n, kinds)
+    return out
+
+
 def named_literals(text: str, least: float = 0.45) -> list[tuple[int, int, float]]:
-    """(start, end, score) of literals that sensitive names are bound to, constants followed."""
+    """(start, end, score) of literals that sensitive names are bound to, constants followed.
+
+    A name's weight passes to all bindings of the names on its right side, and
+    on from these; each binding is visited once, however they refer to each
+    other. A sum is scored by the literals that it comes to: of a name in it
+    the binding nearest before counts (else the first after); a name that no
+    literal is bound to adds nothing.
+    """
     found = assignments(text)
-    constants = {name: terms for name, terms in found if all(t[0] != "bare" for t in terms)}
-
-    def resolve(terms, seen: frozenset) -> list[tuple[str, int, int]] | None:
-        out = []
-        for kind, value, start, end in terms:
-            if kind == "name":
-                if value in seen or value not in constants or len(seen) > 16:
-                    return None
-                inner = resolve(constants[value], seen | {value})
-                if inner is None:
-                    return None
-                out += inner
-            else:
-                out.append((value, start, end))
-        return out
-
-    spans = {}
-    for name, terms in found:
-        weight = sensitivity(name)
-        if weight < 0.5:
+    if not any(sensitivity(a.name) >= LEAST_WEIGHT for a in found):
+        return []
+    constants: dict[str, list[int]] = defaultdict(list)
+    for k, a in enumerate(found):
+        if all(t[0] != "bare" for t in a.terms):
+            constants[a.name].append(k)
+    uses = [[text[x:y] for kind, x, y in a.terms if kind == "name"] for a in found]
+
+    weight, passed = [0.0] * len(found), set()
+    for k in sorted(range(len(found)), key=lambda j: -sensitivity(found[j].name)):
+        level, stack = sensitivity(found[k].name), [k]
+        if level < LEAST_WEIGHT:
+            break
+        while stack:  # the greatest weights come first, so what has one keeps it
+            j = stack.pop()
+            if weight[j]:
+                continue
+            weight[j] = level
+            for name in uses[j]:
+                if name not in passed:
+                    passed.add(name)
+                    stack += constants.get(name, ())
+
+    def nearest(name: str, k: int) -> int | None:
+        held = constants.get(name)
+        if not held:
+            return None
+        at = bisect.bisect_left(held, k)
+        if at:
+            return held[at - 1]
+        return next((b for b in held[:2] if b != k), None)
+
+    values: dict[int, Value | None] = {}  # None while under way: a name that comes back to itself adds nothing
+
+    def worth(top: int) -> Value:
+        stack = [top]
+        while stack:
+            k = stack[-1]
+            if values.get(k) is not None:
+                stack.pop()
+                continue
+            below = [b for name in uses[k] if (b := nearest(name, k)) is not None]
+            if k not in values:
+                values[k] = None
+                stack += [b for b in below if b not in values]
+                continue
+            made = Value()
+            for kind, x, y in found[k].terms:
+                if kind == "literal" and not stands_in(text[x:y]):
+                    made.add(Value(text[x:y]))
+            for b in below:
+                if (part := values.get(b)) is not None:
+                    made.add(part)
+            values[k] = made
+            stack.pop()
+        return values[top]
+
+    bare = _bare_strengths(text, found)
+    spans: dict[tuple[int, int], float] = {}
+    scored: dict[int, float] = {}
+
+    def keep(x: int, y: int, score: float) -> None:
+        if y > x:
+            spans[x, y] = max(score, spans.get((x, y), 0.0))
+
+    for k in sorted(range(len(found)), key=lambda j: -weight[j]):
+        if weight[k] < LEAST_WEIGHT:
+            break
+        kind, x, y = found[k].terms[-1]
+        if kind == "bare":
+            score = sensitivity(found[k].name) * bare.get((x, y), 0.0)
+            if score >= least:
+                keep(x, y, score)
+        if len(found[k].terms) == 1 and kind == "name" and text[x:y] not in constants:
+            # A bare word with digits that names no constant is itself the value.
+            score = weight[k] * strength(text[x:y]) if any(c.isdigit() for c in text[x:y]) else 0.0
+            if score >= least:
+                keep(x, y, score)
             continue
-        parts = resolve(terms, frozenset((name,)))
-        if parts is None and len(terms) == 1 and terms[0][1] not in constants and any(c.isdigit() for c in terms[0][1]):
-            parts = [terms[0][1:]]  # a bare word with digits that names no constant is itself the value
-        if not parts:
+        score = weight[k] * worth(k).strength()
+        if score < least:
             continue
-        score = weight * strength("".join(p[0] for p in parts))
-        if score >= least:
-            for _, start, end in parts:
-                if end > start:
-                    spans[start, end] = max(score, spans.get((start, end), 0.0))
+        stack = [k]
+        while stack:
+            j = stack.pop()
+            if j in scored and (j != k or scored[j] >= score):
+                continue
+            scored[j] = score
+            for kind, x, y in found[j].terms:
+                if kind == "literal" and not stands_in(text[x:y]):
+                    keep(x, y, score)
+            stack += [b for name in uses[j] if (b := nearest(name, j)) is not None and b not in scored]
     return sorted((a, b, s) for (a, b), s in spans.items())
 
 
@@ -144,10 +289,11 @@ def scan(text: str | None) -> tuple[list[tuple[int, int, int]], list[tuple[int,
     """Base spans, and all spans: (start, kind number, end) in order."""
     text = text or ""
     base = base_spans(text)
-    covers = [(a, b) for a, k, b in base if k == 0]
+    covers = [(a, b) for a, k, b in base if k == 0]  # in order and apart
+    inside = lambda a, b: (at := bisect.bisect_right(covers, (a, math.inf))) > 0 and b <= covers[at - 1][1]
     more = []
     if "=" in text or ":" in text:
-        more = [(a, 3, b) for a, b, _ in named_literals(text) if not any(x <= a and b <= y for x, y in covers)]
+        more = [(a, 3, b) for a, b, _ in named_literals(text) if not inside(a, b)]
     return base, sorted(base + more)
 
 
