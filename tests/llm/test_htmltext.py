@@ -72,3 +72,21 @@ def test_awkward_rows(spark):
     got = H.extract(df).collect()
     assert [r.text for r in got[:3]] == ["", "", "Title here\nSome text of the article."] and got[3].text.count("\n") >= 2990
     assert H.extract(df.filter("false")).count() == 0
+
+
+def test_hostile_pages_take_linear_time():
+    import time
+
+    n = 40_000
+    pages = ['<a href="' * n, '<a href="' * n + ">", '<a ">"' * n + "'", "<script>" * n, "<script" * n, "<div>" * n + "x", "<dd><ul>" + "<blockquote>" * n + "<dd></dd>" * n, "<p" * n, "<!--" * n, "<! " * n, "<ul><li>" * n, "<p>x" * n + "</div>" * n, "<" * n, "&" * n, "<style>a</styl" * n]
+    for page in pages:
+        began = time.perf_counter()
+        H.blocks(page)
+        assert time.perf_counter() - began < 2, page[:20]
+
+
+def test_lexing_of_odd_markup():
+    assert H.blocks('<p title="a > b">x</p><p>y')[0] == ["x", "y"]
+    assert H.blocks('<p title=">x</p><p>y</p>')[0] == ["x", "y"]
+    assert H.blocks("<p>a<!-- <p>b</p> --><p>c<!-- d <p>e")[0] == ["a", "c"]
+    assert H.blocks("<p>a < b and c > d</p>5 <")[0] == ["a < b and c > d", "5 <"]

@@ -46,6 +46,29 @@ def test_window_stays_bounded_where_paths_meet():
     assert len(seen) > 1000 and max(seen) < 200
 
 
+def test_every_part_comes_from_the_stream(monkeypatch):
+    m = S.Model(__import__("public_tokenizers").path("piece_bpe_32k.model"))
+    streamed, plain = [], m.stream
+    monkeypatch.setattr(m, "stream", lambda chunks: plain(iter([streamed.append("".join(chunks)) or streamed[-1]])))
+    text = "some words, some others 日本 and " + "x" * 300 + " some words"
+    assert m.encode(text).tolist() == brute(m, meta(text))
+    assert sorted(streamed) == sorted({meta(p)[1:] for p in m.part.findall(" " + text)})
+
+
+def test_overlapping_paths_are_committed_where_back_pointers_meet():
+    """A model whose pieces overlap without end, so that no boundary is ever reached by all paths at once."""
+    m = S.Model.__new__(S.Model)
+    m.pieces = ["a", "aa", "aaa", "ab", "ba"]
+    m.score = {"a": (-1.0, 0), "aa": (-1.875, 1), "aaa": (-2.75, 2), "ab": (-1.5, 3), "ba": (-1.5, 4), "b": (-2.0, 5)}
+    m.bytes, m.unknown, m.longest = {}, -30.0, 3
+    m.prefixes = {p[:k]: None for p in m.score for k in range(1, len(p))} | m.score
+    rng = random.Random(9)
+    for line in ["a" * 997, "ab" * 400 + "a", "".join(rng.choice("aab") for _ in range(1500))]:
+        runs = list(m.stream(line[k : k + 7] for k in range(0, len(line), 7)))
+        assert [i for r in runs for i in r] == brute(m, line)
+    assert max(map(len, runs)) < 60  # in the periodic lines paths stay apart to the end
+
+
 def test_awkward_rows(spark):
     rows = [(1, None, "x"), (1, None, "x"), (None, "", "x"), (3, "word " * 40000, "x"), (4, "▁", "x")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, ids string")

@@ -27,7 +27,9 @@ Vectors that are null, empty, zero or hold null or non-finite components link
 with nothing, nor do those without a label or of another length than the most
 common one: their component is their own id and they are kept. Each row stays
 a row; rows that repeat an id stand for the same node. Without an id a row has
-no component, is not kept, and still counts as a link of its equals.
+no component, is not kept, and still counts as a link of its equals. An empty
+table gives no rows. Columns beyond ``vec_id``, ``embedding`` and ``label`` are
+ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -38,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .ann import common_length, matrix, usable
-from .common import arrow_map, arrow_rows, durable, hash_sample
+from .common import arrow_map, arrow_rows, durable, hash_sample, heavy_keys, spread_join
 from .components import connected_components
 
 SAMPLE = 8192  # vectors that the rotation is learned from, at most
@@ -125,7 +127,6 @@ def compare(keys, table, keymatrix, unit, weight, ids, threshold: float, own, wh
 
 def duplicates(vectors: DataFrame, threshold: float = 0.98, chunk: int | None = None, block: int = BLOCK) -> DataFrame:
     """vec_id, n_links, component_id, kept of every row."""
-    spark = vectors.sparkSession
     rows = usable(vectors, ["label"]).filter("label is not null")
     rows = durable(rows)
     size = common_length(rows)
@@ -166,7 +167,7 @@ def duplicates(vectors: DataFrame, threshold: float = 0.98, chunk: int | None =
         .select("label", "t", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "class_id", "weight", "keys", "unit")
     )
     group = ["label", "t", "key", "i", "j"]
-    sorted_rows = dealt.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), *group).sortWithinPartitions(*group, "own")
+    sorted_rows = dealt.repartition(*group).sortWithinPartitions(*group, "own")
 
     def run(batches):
         schema = pa.schema([("class_id", pa.int64()), ("root", pa.int64()), ("links", pa.int64())])
@@ -204,7 +205,8 @@ def duplicates(vectors: DataFrame, threshold: float = 0.98, chunk: int | None =
     named = merged.select("class_id", "label", "v", "weight", "node").join(classes.withColumnRenamed("node", "class_id"), "class_id", "left").withColumn("component", F.coalesce("component", "class_id"))
     named = durable(named.join(counted, "class_id", "left").select("class_id", "component", "label", "v", "node", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links")))
     least = named.groupBy("component").agg(F.min("node").alias("component_id"))
-    joined = rows.join(named.join(least, "component").select("label", "v", "n_links", "component_id"), ["label", "v"]).select("vec_id", "n_links", "component_id")
+    found = spread_join(named, least, ["component"], heavy_keys(named, ["component"], by_label.total)).select("label", "v", "n_links", "component_id")
+    joined = spread_join(rows, found, ["label", "v"], heavy_keys(rows, ["label", "v"], rows.count())).select("vec_id", "n_links", "component_id")
     # Rows that took no part: all rows less those that did, by id and how often it occurs.
     all_ids = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "label", "embedding")
     return _with_rest(all_ids, joined)

@@ -13,8 +13,11 @@ and the kept blocks are joined by a line feed; nothing else is dropped or
 capped. Scripts, styles, comments and markup never make blocks. Null html
 counts as empty and gives the empty text. Text outside any element is a block
 too. A script or style without an end tag drops its start tag only. Unclosed and
-misplaced tags are tolerated. Memory follows a batch of
-pages; a page's length only adds steps.
+misplaced tags are tolerated; after a quotation mark without a partner such
+marks no longer hide the end of a tag. Time and memory are linear in a page,
+hostile ones included. Repeated rows are extracted alike, and ids and urls may
+be null or repeated. An empty table gives no rows. Columns beyond ``page_id``,
+``url`` and ``html`` are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,8 +25,10 @@ from __future__ import annotations
 import functools
 import html
 import pickle
+import random
 import re
 import zlib
+from collections import defaultdict
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -42,7 +47,8 @@ EMBEDDED = frozenset("noscript template iframe svg object".split())  # may stand
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 SCOPES = frozenset("ul ol dl table select body html article section div".split())
 
-_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<(/?)([A-Za-z][^\s/>]*)([^>]*)>""", re.S)
+_QUOTED = re.compile(r"""<!--(?:.*?-->|.*)|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<(/?)([A-Za-z][^\s/>]*)([^>]*)>""", re.S)
+_PLAIN = re.compile(r"""<!--(?:.*?-->|.*)|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)([^>]*)>""", re.S)
 _NAMES = re.compile(r"""(?i)(?:^|\s)(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""")
 _NAME_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
@@ -71,6 +77,7 @@ def blocks(page: str | None) -> tuple[list[str], np.ndarray, np.ndarray]:
     paths: list[np.ndarray] = []
     linked: list[float] = []
     names: list[str] = []
+    places: dict[str, list[int]] = defaultdict(list)  # of each name among the open ones
     vectors = [np.zeros(PATH, np.float32)]
     parts: list[str] = []
     in_link = [0, 0]  # characters inside links; open links
@@ -91,34 +98,55 @@ def blocks(page: str | None) -> tuple[list[str], np.ndarray, np.ndarray]:
             parts.append(text)
             in_link[0] += len(text) if in_link[1] else 0
 
+    def last_of(wanted) -> int:
+        return max((places[n][-1] for n in wanted if places.get(n)), default=-1)
+
     def close(to: int) -> None:
+        for n in names[to:]:
+            places[n].pop()
         del names[to:], vectors[to + 1 :]
 
-    at = 0
+    def open_(tag: str, attributes: str) -> None:
+        places[tag].append(len(names))
+        names.append(tag)
+        vectors.append(vectors[-1] + element_vector(tag, attributes))
+
+    at, tags, endless = 0, _QUOTED, set()
+    last = page.rfind(">") + 1  # no tag ends behind it
     while True:
-        m = _TAG.search(page, at)
+        m = tags.search(page, at, last)
         if not m:
-            add(page[at:])
+            rest = page.find("<!--", max(at, last))
+            add(page[at:rest] if rest >= 0 else page[at:])
             break
         add(page[at : m.start()])
         at = m.end()
-        tag = (m[2] or m[5] or "").lower()
-        if not tag:
+        if m[0].startswith("<!--"):
+            if not m[0].endswith("-->"):  # an open comment holds the rest
+                break
             continue
-        ending, attributes = m[1] or m[4], m[3] or m[6] or ""
+        if tags is _QUOTED and m[5]:
+            # A quotation mark without a partner: from here on such marks mean nothing, so no tag is searched to the end again.
+            tags, found = _PLAIN, m.group(4, 5, 6)
+        else:
+            found = m.group(1, 2, 3)
+        if not found[1]:
+            continue
+        ending, tag, attributes = found[0], found[1].lower(), found[2]
         if tag in RAW:
-            if not ending and not attributes.endswith("/"):
+            if not ending and not attributes.endswith("/") and tag not in endless:
                 end = re.compile(rf"(?i)</{re.escape(tag)}\s*>").search(page, at)
                 at = end.end() if end else at
+                if not end:
+                    endless.add(tag)
             continue
         if tag in EMBEDDED:
             flush()
             if ending:
-                if tag in names:
-                    close(len(names) - 1 - names[::-1].index(tag))
+                if places.get(tag):
+                    close(places[tag][-1])
             elif not attributes.endswith("/"):
-                names.append(tag)
-                vectors.append(vectors[-1] + element_vector(tag, attributes))
+                open_(tag, attributes)
             continue
         if tag in BREAKING:
             flush()
@@ -130,19 +158,14 @@ def blocks(page: str | None) -> tuple[list[str], np.ndarray, np.ndarray]:
         if tag not in BREAKING or tag in VOID:
             continue
         if ending:
-            if tag in names:
-                close(len(names) - 1 - names[::-1].index(tag))
+            if places.get(tag):
+                close(places[tag][-1])
             continue
-        if "p" in names:  # a block closes an open paragraph
-            close(len(names) - 1 - names[::-1].index("p"))
-        for k in range(len(names) - 1, -1, -1):
-            if names[k] in CLOSES.get(tag, ()):
-                close(k)
-                break
-            if names[k] in SCOPES:
-                break
-        names.append(tag)
-        vectors.append(vectors[-1] + element_vector(tag, attributes))
+        if places.get("p"):  # a block closes an open paragraph
+            close(places["p"][-1])
+        if (k := last_of(CLOSES.get(tag, ()))) > last_of(SCOPES):
+            close(k)
+        open_(tag, attributes)
     flush()
     n = len(texts)
     return texts, np.array(paths, np.float32).reshape(n, PATH), np.array(linked, np.float32)
@@ -308,19 +331,19 @@ class Pages:
     """A seeded maker of pages with the label of each block."""
 
     def __init__(self, seed: int):
-        self.r = np.random.default_rng(seed)
+        self.r = random.Random(seed)
 
     def pick(self, items):
-        return items[self.r.integers(len(items))]
+        return items[int(self.r.random() * len(items))]
 
     def chance(self, p: float) -> bool:
         return self.r.random() < p
 
     def words(self, low: int, high: int) -> str:
         def word():
-            return "".join(self.pick(_SYLLABLES) for _ in range(self.r.integers(1, 5)))
+            return "".join(self.pick(_SYLLABLES) for _ in range(self.r.randrange(1, 5)))
 
-        found = [word() for _ in range(self.r.integers(low, high + 1))]
+        found = [word() for _ in range(self.r.randrange(low, high + 1))]
         style = self.r.random()
         if style < 0.06:
             found = [w + self.pick(["***", "$$$", "%%%", "###", "&amp;&amp;&amp;"]) for w in found]
@@ -334,7 +357,7 @@ class Pages:
         return text[:1].upper() + text[1:] + ("." if self.chance(0.8) else "")
 
     def prose(self) -> str:
-        return " ".join(self.words(1, 25) for _ in range(self.r.integers(1, 6)))
+        return " ".join(self.words(1, 25) for _ in range(self.r.randrange(1, 6)))
 
     def opened(self, kind: str) -> tuple[str, str]:
         tag, _, names = kind.partition("|")
@@ -344,8 +367,8 @@ class Pages:
     def chrome(self, kind: str) -> str:
         kinds, inside = _CHROME[kind]
         start, end = self.opened(self.pick(kinds))
-        link = lambda: f'<a href="/{self.r.integers(999)}">{self.words(1, 3)}</a>'
-        items = "".join(f"<li>{link()}</li>" for _ in range(self.r.integers(2, 9)))
+        link = lambda: f'<a href="/{self.r.randrange(999)}">{self.words(1, 3)}</a>'
+        items = "".join(f"<li>{link()}</li>" for _ in range(self.r.randrange(2, 9)))
         if inside == "list":
             body = self.pick([f"<ul>{items}</ul>", items, " ".join(link() for _ in range(5))]) if not start.startswith("<ul") else items
         elif inside == "title":
@@ -358,7 +381,7 @@ class Pages:
         elif inside == "form":
             body = f"<label>{self.words(1, 3)}</label><input name=q><select><option>{self.words(1, 2)}<option>{self.words(1, 2)}</select><p>{self.words(3, 12)}</p><button>{self.words(1, 2)}</button>"
         elif inside == "comments":
-            body = f"<h3>{self.words(1, 3)}</h3>" + "".join(f'<{t} class="comment"><b>{self.words(1, 2)}</b><p>{self.prose()}</p></{t}>' for t in [self.pick(["div", "li", "article"])] for _ in range(self.r.integers(1, 5)))
+            body = f"<h3>{self.words(1, 3)}</h3>" + "".join(f'<{t} class="comment"><b>{self.words(1, 2)}</b><p>{self.prose()}</p></{t}>' for t in [self.pick(["div", "li", "article"])] for _ in range(self.r.randrange(1, 5)))
         else:
             text = f"&copy; {self.words(1, 3)} &middot; {self.words(3, 12)}"
             body = self.pick([text, text, f"<p>{text}</p>", f"<ul>{items}</ul><p>{text}</p>", f"<p>{self.prose()}</p>"])
@@ -399,7 +422,7 @@ class Pages:
             title = f"<h1>{self.words(1, 9)}</h1>"
             parts.append((f"<header>{title}</header>" if self.chance(0.2) else title, 1))
         length = self.r.random()
-        for _ in range(self.r.integers(1, 9) if length > 0.16 else self.r.integers(9, 60) if length > 0.03 else self.r.integers(60, 240)):
+        for _ in range(self.r.randrange(1, 9) if length > 0.16 else self.r.randrange(9, 60) if length > 0.03 else self.r.randrange(60, 240)):
             parts.append((self.paragraph(), 1))
             if start and self.chance(0.08):
                 parts.append((self.chrome(self.pick(["ad", "sidebar", "notice", "form"])), 0))

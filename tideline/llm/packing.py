@@ -1,18 +1,23 @@
 """Packing into sequences by shortest-pack-first over the length histogram.
 
 Documents are tokenised, closed with the end id and cut into full pieces of
-``size`` ids and a rest. Only the histogram of piece lengths (at most ``size``
-numbers, whatever the corpus) comes to the driver. There lengths are placed
+``size`` ids and a rest. A full piece is a sequence by itself and needs no
+place among others. Of the rests only the histogram of lengths (less than
+``size`` numbers, whatever the corpus) comes to the driver. There lengths are placed
 longest first: each goes to the shortest packs that still have room, a count
 at a time, so packing patterns with counts are updated instead of single
 packs. Where no pack has room, new packs take as many copies as fit. Patterns
 become slots (length, range of ranks) -> (sequences, offset), and pieces join
 them by their rank among the pieces of their length. Ranks come from counts by
-(length, salt) and a row number within these, so the most frequent length is
-dealt over ``SALTS`` groups.
-
-Null text counts as empty: a piece of the end id alone. Ids may be null or
-repeated; each row is packed once. An empty table gives no rows.
+(length, salt) and a row number within these; there is a salt for every
+``GROUP`` rests, so a group stays about that large even where all rests have
+one length.
+
+Null text counts as empty: a piece of the end id alone. A very long text is cut
+into many pieces; memory follows one text. Ids may be null or repeated; each
+row is packed once, and ties in rank are settled by the row's own columns. An
+empty table gives no rows. Columns beyond ``doc_id`` and ``text`` are ignored,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -27,7 +32,7 @@ from pyspark.sql import functions as F
 
 from .common import arrow_map, durable
 
-SIZE, END_ID, SALTS = 2048, 1, 256
+SIZE, END_ID, GROUP = 2048, 1, 100_000  # GROUP: rests that one rank group holds, about
 SLOT = "length long, first long, last long, sequence_base long, base_offset long, copies long"
 
 
@@ -142,21 +147,28 @@ def slots(made: list[tuple[int, list[tuple[int, int]]]]) -> list[tuple[int, int,
     return out
 
 
-def pack(docs: DataFrame, size: int = SIZE, vocabulary: str | None = None, ranks: str | None = None) -> DataFrame:
+def pack(docs: DataFrame, size: int = SIZE, vocabulary: str | None = None, ranks: str | None = None, group: int = GROUP) -> DataFrame:
     """One row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
     spark = docs.sparkSession
-    cut = durable(pieces(docs, size, vocabulary, ranks)).withColumn("salt", F.pmod(F.xxhash64("doc_id", "start"), F.lit(SALTS)))
-    counts = cut.groupBy("length", "salt").agg(F.count(F.lit(1)).alias("n"))
-    histogram = {r.length: r.n for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most ``size`` rows
-    before = counts.select("length", "salt", (F.sum("n").over(Window.partitionBy("length").orderBy("salt")) - F.col("n")).alias("before"))  # at most size * SALTS rows
+    every = durable(pieces(docs, size, vocabulary, ranks))
+    cut = every.filter(F.col("length") < size)
+    salts = max(1, round(cut.count() / group))
+    cut = cut.withColumn("salt", F.pmod(F.xxhash64("doc_id", "start", F.spark_partition_id()), F.lit(salts)))
+    counts = durable(cut.groupBy("length", "salt").agg(F.count(F.lit(1)).alias("n")))
+    histogram = {r.length: r.n for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # less than ``size`` rows
+    before = counts.select("length", "salt", (F.sum("n").over(Window.partitionBy("length").orderBy("salt")) - F.col("n")).alias("before"))  # at most size * salts rows
     within = F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "start", "ids_crc32", "doc_tokens")) - 1
     ranked = cut.withColumn("within", within).join(before, ["length", "salt"]).withColumn("rank", F.col("before") + F.col("within"))
-    table = spark.createDataFrame(slots(patterns(histogram, size)), SLOT).withColumnRenamed("length", "slot_length")
+    made = patterns(histogram, size)
+    table = spark.createDataFrame(slots(made), SLOT).withColumnRenamed("length", "slot_length")
     # The slots' number follows the histogram's ``size`` bins, never the rows.
     placed = ranked.join(F.broadcast(table), (F.col("length") == F.col("slot_length")) & F.col("rank").between(F.col("first"), F.col("last")))
     index = F.col("rank") - F.col("first")
-    return placed.select(
+    rests = placed.select(
         "doc_id", "start", "length", "ids_crc32", "doc_tokens",
         (F.col("sequence_base") + F.floor(index / F.col("copies")).cast("long")).alias("sequence_id"),
         (F.col("base_offset") + F.pmod(index, F.col("copies")) * F.col("length")).alias("offset"),
     )
+    # The checkpoint's rows keep their places, so this numbers full pieces alike in every run of a task.
+    own = F.lit(sum(count for count, _ in made)) + F.monotonically_increasing_id()
+    return rests.unionByName(every.filter(F.col("length") == size).withColumn("sequence_id", own).withColumn("offset", F.lit(0).cast("long")))

@@ -3,20 +3,22 @@
 The vocabulary and its scores come from a model file (a path; never trained
 here). A text gets one leading space, spaces become the meta symbol, and the
 best path of pieces by summed score is sought. Only boundaries within the
-longest piece can still be reached, so the search keeps that window; when the
-back pointers of all boundaries in it meet in one, every id before it is final
-and is committed. A character without a piece costs the least score less ten
+longest piece can still be reached, so the search keeps that window; when all
+surviving paths meet in one boundary, every id before it is final and is
+committed. A character without a piece costs the least score less ten
 and is written as its bytes' pieces, also a meta symbol of the text itself, so
 decoding always gives back the very text. On equal scores the longer last
 piece wins.
 
 No piece of the model reaches over the place between another character and a
 space, or over a character that no piece holds, so paths always meet there and
-the parts between can be encoded by themselves; parts seen before are looked
-up. Models without that property are searched in one stream.
+the stream may start anew; what it gave for a part between such places is
+remembered. Models without that property are searched in one stream.
 
-Null text counts as empty; the empty text has no ids. Repeated rows are
-encoded alike. Ids may be null or repeated.
+Null text counts as empty; the empty text has no ids. Memory beyond the text
+and its ids follows the window, however long the text is. Repeated rows are
+encoded alike. Ids may be null or repeated. An empty table gives no rows.
+Columns beyond ``doc_id`` and ``text`` are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -31,7 +33,8 @@ from pyspark.sql import functions as F
 from .common import arrow_map
 
 META, OWN = "▁", "\udfff"  # the meta symbol; what stands for one in the text itself
-CACHE = 600_000  # parts that a worker remembers, at most
+CHUNK = 64  # characters handed to the search at a time
+CACHE = 600_000  # parts of a chunk at most that a worker remembers, at most
 
 
 class Model:
@@ -59,38 +62,62 @@ class Model:
         self.part = re.compile(r"\n|[ ]*[^ \n]+|[ ]+" if newline else r"[ ]*[^ ]+|[ ]+") if splits else re.compile(r"(?s).+")
         self.known: dict[str, bytes] = {}
 
-    def stream(self, text):
-        """Yields runs of final ids for an iterable of characters, meta symbols in place; holds a window of boundaries."""
-        longest, score, unknown = self.longest, self.score, self.unknown
-        chars: list[str] = []  # since the last commit
-        best, back = [0.0], [(0, 0)]  # of the boundaries since then; back: (boundary, id or -1)
-        for c in text:
-            chars.append(c)
-            end = len(chars)
-            tail = "".join(chars[max(0, end - longest) :])
-            base = end - len(tail)
-            at, link = -np.inf, None
-            for start in range(base, end):
-                hit = score.get(tail[start - base :])
-                if hit is not None and best[start] + hit[0] > at:
-                    at, link = best[start] + hit[0], (start, hit[1])
-            if c not in score and best[end - 1] + unknown > at:
-                at, link = best[end - 1] + unknown, (end - 1, -1)
-            best.append(at)
-            back.append(link)
-            if end >= 2 * longest and end % longest == 0:
-                alive = set(range(end - longest + 1, end + 1))  # boundaries that a later piece can start from
+    def stream(self, chunks):
+        """Yields runs of final ids for an iterable of strings, meta symbols in place.
+
+        A boundary is left once its pieces have been tried, so all that is held
+        are the boundaries since the last commit and as many characters ahead
+        as the longest piece has. Where no path reaches beyond a boundary, all
+        of them meet there and it is committed; where paths overlap for long,
+        their back pointers are followed to the boundary in which they meet.
+        """
+        longest, prefixes, score, unknown = self.longest, self.prefixes, self.score, self.unknown
+        chunks, more = iter(chunks), True
+        held, best, back = "", [0.0], [(0, 0)]  # characters since the last commit; scores and back pointers (boundary, id or -1) of their boundaries
+        at = reach = 0  # the boundary whose pieces are tried next; the furthest that any path has come to
+        while True:
+            while more and len(held) - at < longest:
+                chunk = next(chunks, None)
+                if chunk is None:
+                    more = False
+                else:
+                    held += chunk
+                    best += [-np.inf] * len(chunk)
+                    back += [(0, 0)] * len(chunk)
+            if at and at == reach:
+                yield self._path(held, back, at)
+                held = held[at:]
+                if not held and not more:
+                    return
+                best, back = [0.0] + [-np.inf] * len(held), [(0, 0)] * (len(held) + 1)
+                at = reach = 0
+                continue
+            if at == len(held):
+                return
+            if at >= 2 * longest and at % longest == 0:
+                alive = set(range(at, reach + 1))  # any path goes on from one of these
                 while len(alive) > 1:
                     last = max(alive)
                     alive.discard(last)
                     alive.add(back[last][0])
                 meet = alive.pop()
                 if meet:
-                    yield self._path(chars, back, meet)
-                    chars, best = chars[meet:], best[meet:]
-                    back = [(0, 0)] + [(b - meet, i) for b, i in back[meet + 1 :]]
-        if chars:
-            yield self._path(chars, back, len(chars))
+                    yield self._path(held, back, meet)
+                    held, best, at, reach = held[meet:], best[meet:], at - meet, reach - meet
+                    back = [(0, 0)] + [(max(0, b - meet), i) for b, i in back[meet + 1 :]]
+            so_far, n = best[at], len(held)
+            for end in range(at + 1, min(n, at + longest) + 1):
+                hit = prefixes.get(held[at:end], 0)
+                if hit == 0:
+                    break
+                if hit is not None and so_far + hit[0] > best[end]:
+                    best[end], back[end] = so_far + hit[0], (at, hit[1])
+                    if end > reach:
+                        reach = end
+            if held[at] not in score and so_far + unknown > best[at + 1]:
+                best[at + 1], back[at + 1] = so_far + unknown, (at, -1)
+                reach = max(reach, at + 1)
+            at += 1
 
     def _path(self, chars, back, end: int) -> list[int]:
         out = []
@@ -104,34 +131,14 @@ class Model:
             end = start
         return out[::-1]
 
-    def _short(self, line: str) -> list[int]:
-        """The path that :meth:`stream` finds, for a line so short that all of it may be held."""
-        n, prefixes, unknown = len(line), self.prefixes, self.unknown
-        best, back = [0.0] + [-np.inf] * n, [(0, 0)] * (n + 1)
-        for start in range(n):
-            so_far = best[start]
-            for end in range(start + 1, n + 1):
-                hit = prefixes.get(line[start:end], 0)
-                if hit == 0:
-                    break
-                if hit is not None and so_far + hit[0] > best[end]:
-                    best[end], back[end] = so_far + hit[0], (start, hit[1])
-            if line[start] not in self.score and so_far + unknown > best[start + 1]:
-                best[start + 1], back[start + 1] = so_far + unknown, (start, -1)
-        return self._path(line, back, n)
-
     def part_ids(self, part: str) -> bytes:
-        found = self.known.get(part)
-        if found is None:
-            if len(part) <= 64:
-                found = np.array(self._short(part.replace(META, OWN).replace(" ", META)), "<u4").tobytes()
-            else:
-                line = (OWN if c == META else META if c == " " else c for c in part)
-                found = np.array([i for run in self.stream(line) for i in run], "<u4").tobytes()
-            if len(part) <= 64:
-                if len(self.known) >= CACHE:
-                    self.known.clear()
-                self.known[part] = found
+        """The ids of a part, by the stream; short parts are remembered."""
+        line = part.replace(META, OWN).replace(" ", META)
+        found = np.array([i for run in self.stream(line[k : k + CHUNK] for k in range(0, len(line), CHUNK)) for i in run], "<u4").tobytes()
+        if len(part) <= CHUNK:
+            if len(self.known) >= CACHE:
+                self.known.clear()
+            self.known[part] = found
         return found
 
     def encode(self, text: str | None) -> np.ndarray:

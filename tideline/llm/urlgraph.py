@@ -9,20 +9,25 @@ link to them. A seed's weight is the share of the host's pages with that
 verdict. A host is blocked where distrust exceeds trust by ``margin``.
 
 All of it is DataFrame operations. Links are pre-aggregated by pair of hosts,
-scores are joined to edges and summed with map-side combining, and each round
-is checkpointed. Only blocked hosts are joined back to pages without a rule.
+scores are joined to edges (hosts with very many edges or pages dealt over
+several parts) and summed with map-side combining, and each round is
+checkpointed. Only blocked hosts are joined back to pages without a rule.
 
 Null urls and urls without ``://`` have empty host and path, fit no rule and
-are allowed. Null html has no links. Repeated rows are judged alike (and count
-as pages each); ids may be null. Extra columns are ignored.
+are allowed. Null or empty html has no links, and a very long one is searched
+whole. Of equally long rules that fit, the later in the alphabet counts.
+Repeated rows are judged alike (and count as pages each); ids may be null. An
+empty table gives no rows. Extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable
+from .common import durable, heavy_keys, spread_join
 
 # Verdict, host and path of each rule.
 RULES = [
@@ -72,26 +77,35 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return links.select("src", host_of(link).alias("dst")).filter("src <> '' and dst <> '' and src <> dst").groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"))
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds: int = 30, tolerance: float = 1e-4) -> DataFrame:
-    """(host, kind, score): kind 0 flows along the edges, kind 1 against them. ``seeds``: (host, kind, seed)."""
+def propagate(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, tolerance: float = 1e-4) -> DataFrame:
+    """(host, kind, score): kind 0 flows along the edges, kind 1 against them. ``seeds``: (host, kind, seed).
+
+    A round shrinks the summed change by ``damping``, so the number of rounds
+    after which no score can move by ``tolerance`` is known from the seeds; it
+    stops earlier where none did.
+    """
     edges = durable(edges)
     if edges.isEmpty():
         return seeds.select("host", "kind", ((1 - damping) * F.col("seed")).alias("score"))
-    along = edges.join(edges.groupBy("src").agg(F.sum("n").alias("all")), "src").select(F.col("src").alias("host"), F.col("dst").alias("to"), F.lit(0).alias("kind"), (F.col("n") / F.col("all")).alias("share"))
-    against = edges.join(edges.groupBy("dst").agg(F.sum("n").alias("all")), "dst").select(F.col("dst").alias("host"), F.col("src").alias("to"), F.lit(1).alias("kind"), (F.col("n") / F.col("all")).alias("share"))
-    flow = durable(along.union(against))
-    nodes = flow.select("host", "kind").union(flow.select(F.col("to").alias("host"), "kind")).distinct()
-    start = durable(nodes.join(seeds, ["host", "kind"], "full").select("host", "kind", F.coalesce("seed", F.lit(0.0)).alias("seed")))
-    scores = start.select("host", "kind", ((1 - damping) * F.col("seed")).alias("score"))
+    along = edges.select(F.col("src").alias("host"), F.col("dst").alias("to"), F.lit(0).alias("kind"), "n")
+    flow = durable(along.union(edges.select(F.col("dst").alias("host"), F.col("src").alias("to"), F.lit(1).alias("kind"), "n")))
+    heavy = durable(heavy_keys(flow, ["host", "kind"], flow.count()))
+    none = F.lit(0.0)
+    start = flow.select("host", "kind", none.alias("seed"), "n").union(flow.select(F.col("to"), "kind", none, F.lit(0).cast("long"))).union(seeds.select("host", "kind", "seed", F.lit(0).cast("long")))
+    start = durable(start.groupBy("host", "kind").agg(F.sum("seed").alias("seed"), F.sum("n").alias("links")))
+    scores = start.select("host", "kind", "links", ((1 - damping) * F.col("seed")).alias("score"))
+    mass = start.agg(F.sum("seed")).first()[0] or 0.0
+    rounds = max(1, math.ceil(math.log(tolerance / mass) / math.log(damping)) + 1) if mass > tolerance else 1
     for _ in range(rounds):
-        got = flow.join(scores, ["host", "kind"]).groupBy(F.col("to").alias("host"), "kind").agg(F.sum(F.col("share") * F.col("score")).alias("got"))
-        new = start.join(got, ["host", "kind"], "left").select("host", "kind", ((1 - damping) * F.col("seed") + damping * F.coalesce("got", F.lit(0.0))).alias("score"))
-        new = durable(new)
-        moved = new.alias("a").join(scores.alias("b"), ["host", "kind"]).agg(F.max(F.abs(F.col("a.score") - F.col("b.score")))).first()[0]
-        scores = new
+        sent = spread_join(flow, scores.select("host", "kind", F.try_divide("score", "links").alias("each")), ["host", "kind"], heavy)
+        got = sent.groupBy(F.col("to").alias("host"), "kind").agg(F.sum(F.col("n") * F.col("each")).alias("got"))
+        new = scores.select("host", "kind", F.col("score").alias("last")).join(start, ["host", "kind"]).join(got, ["host", "kind"], "left")
+        new = durable(new.select("host", "kind", "links", "last", ((1 - damping) * F.col("seed") + damping * F.coalesce("got", none)).alias("score")))
+        moved = new.agg(F.max(F.abs(F.col("score") - F.col("last")))).first()[0]
+        scores = new.drop("last")
         if moved is None or moved < tolerance:
             break
-    return scores
+    return scores.drop("links")
 
 
 def judge(pages: DataFrame, rules=RULES, margin: float = 0.05, damping: float = 0.85) -> DataFrame:
@@ -103,5 +117,7 @@ def judge(pages: DataFrame, rules=RULES, margin: float = 0.05, damping: float =
     scores = propagate(host_edges(pages), durable(seeds), damping)
     bad = scores.groupBy(F.col("host").alias("bad_host")).agg(F.sum(F.when(F.col("kind") == 1, F.col("score")).otherwise(-F.col("score"))).alias("excess")).filter(F.col("excess") >= margin).select("bad_host")
     fitting = at.filter("by_rule is not null").select("page_id", "host", "path", "rule", F.col("by_rule").alias("verdict"))
-    others = at.filter("by_rule is null").join(bad, F.col("host") == F.col("bad_host"), "left").select("page_id", "host", "path", "rule", F.when(F.col("bad_host").isNotNull(), "block").otherwise("allow").alias("verdict"))
+    free = at.filter("by_rule is null").select("page_id", "host", "path", "rule")
+    known = bad.select(F.col("bad_host").alias("host"), F.lit(True).alias("bad"))
+    others = spread_join(free, known, ["host"], heavy_keys(free, ["host"], at.count()), "left").select("page_id", "host", "path", "rule", F.when(F.col("bad"), "block").otherwise("allow").alias("verdict"))
     return fitting.unionByName(others)
