@@ -1,59 +1,5 @@
-"""A corpus pipeline: quality, toxicity, near duplicates, secrets, packing.
+"""The corpus pipeline, quality -> toxicity -> near copies -> secrets -> packing; made in ``tideline.llm.pipeline``."""
 
-Each stage takes (spark, docs, sf_dir) and works on all that the stage before
-it kept; every result is written as Parquet in the shared folder and read
-again. All stages but the last return the columns of ``documents``.
-"""
+from tideline.llm.pipeline import ORACLE_SQL, STAGES, run
 
-from __future__ import annotations
-
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-from tideline.llm import packing, quality, secretscan, simhash, toxicity
-from tideline.llm.common import shared_folder, table
-
-
-def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    weights = quality.fit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    return quality.accepted(docs, weights)
-
-
-def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    model = toxicity.fit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    return toxicity.accepted(docs, model)
-
-
-def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.deduplicate(docs)
-
-
-def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return secretscan.redacted(docs)
-
-
-def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(docs)
-
-
-STAGES = [
-    ("quality classifier", keep_quality),
-    ("toxicity", drop_toxic),
-    ("SimHash near-dedup", drop_near_copies),
-    ("secret scans", redact_secrets),
-    ("packing", pack),
-]
-
-#: The classifiers are beyond SQL; tests hold the pipeline against its operators run by brute force.
-ORACLE_SQL = None
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
-    docs = table(spark, sf_dir, "documents")
-    for k, (_, stage) in enumerate(STAGES):
-        path = f"{folder}/{k}"
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
-    return docs
+__all__ = ["ORACLE_SQL", "STAGES", "run"]
