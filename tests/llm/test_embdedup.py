@@ -78,3 +78,25 @@ def test_query_recall_on_a_table(spark):
     assert [g[0] for g in got] == [w[0] for w in want]
     assert sum(g[1] for g in got) >= 0.98 * sum(w[1] for w in want)
     assert all(g[1] <= w[1] for g, w in zip(got, want))
+
+
+def test_links_equal_sql(spark, tmp_path):
+    """The query and its SQL over a table with groups of near copies, chains, copies and awkward rows."""
+    import duckdb
+
+    from tideline.llm.queries import ORACLE_SQL
+
+    rng, rows = np.random.default_rng(21), []
+    for g in range(40):
+        at = rng.standard_normal(64)
+        for _ in range(int(rng.integers(1, 25))):
+            at = at + rng.standard_normal(64) * rng.choice([0, 0.02, 0.06])  # chains of near copies
+            rows.append((at.tolist(), g % 3))
+    rows += [(None, 1), ([], 1), ([0.0] * 64, 1), ([float("nan")] * 64, 2), (rows[0][0], None), (rows[0][0], 0), (rows[0][0][:5], 0), ([None] + rows[1][0][1:], 0)]
+    df = spark.createDataFrame([(3 * i + 1, v, label) for i, (v, label) in enumerate(rows)], "vec_id long, embedding array<double>, label int")
+    df.coalesce(2).write.parquet(f"{tmp_path}/embeddings.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    want = {r[0]: r[1:] for r in con.execute(ORACLE_SQL["op3_itq_dedup"]).fetchall()}
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in QUERIES["op3_itq_dedup"](spark, str(tmp_path)).collect()}
+    assert got == want and sum(n for n, _, _ in want.values()) > 1000
