@@ -1,24 +1,32 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained: one on ordinary text and one on the
-words that toxic documents hold far more often than ordinary ones. A text is
-cut into windows at white space. Each window is compressed with the ordinary
-dictionary alone and with the toxic one before it; the bytes saved are the
-window's distance. A document is scored from how many of its windows save at
-least a calibrated number of bytes (a logistic calibration on labelled
-documents that the dictionaries have not seen).
+Two zstandard dictionaries are trained, one on windows of ordinary documents
+and one on windows of toxic ones. Most windows of a toxic document read like
+any other, so both are trained on what tells: windows that shared ordinary
+text compresses badly, and, in a second round, toxic windows that the first
+round's toxic dictionary (of the other half of the documents) compresses
+better than the ordinary one, by more than nearly all ordinary windows.
+
+A text is cut into windows at white space. Each is compressed twice, with the
+ordinary and with the toxic dictionary. Both lie before the same shared
+ordinary text, so common wording costs the same either way, and the difference
+of the two lengths shows what only one of the dictionaries holds. A document
+is scored from its windows' differences by thresholds and a logistic
+calibration, learned from labelled documents that the dictionaries have not
+seen, whole. A small committee of such pairs, each dealt other halves of the
+documents, is averaged.
 
 Null text counts as empty; an empty text has no window and gets the score of
-"no window saves anything". Whole texts are scored, window by window, so
-memory doesn't follow their length. Repeated rows are scored alike. Without
-toxic training rows every score is 0.
+"no window differs". Whole texts are scored, window by window, so memory
+doesn't follow their length. Repeated rows are scored alike, and ids may be
+null. Without toxic or without ordinary training rows every score is next to
+0. An empty table gives no rows. Columns beyond ``doc_id`` and ``text`` are
+ignored by :func:`score` and kept by :func:`accepted`, whatever their names.
 """
 
 from __future__ import annotations
 
 import pickle
-import re
-import zlib
 from collections import Counter
 from dataclasses import dataclass
 
@@ -27,33 +35,32 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, arrow_rows, id_remainder, labelled_sample
+from .common import arrow_map, arrow_rows, durable, id_remainder, labelled_sample
 
 
 @dataclass(frozen=True)
 class Settings:
+    """Chosen by cross-validation inside rows that may be learned from."""
+
     per_class: int = 2400  # labelled documents of each class that are learned from, at most
-    sample_bytes: int = 32768  # of each of them, at most, in evenly spaced slices
-    gram: int = 5
-    windows: tuple[int, ...] = (100, 56)
-    ordinary_bytes: int = 24576
-    toxic_bytes: int = 2048
+    pieces: int = 64  # of each of them that dictionaries see, at most: drawn from the whole text
+    piece: int = 128  # bytes of a piece, about
+    window: int = 200  # bytes that are compressed at a time, about
+    committee: int = 4
+    shared_bytes: int = 65536
+    class_bytes: int = 4096
+    hard: float = 0.8  # share of ordinary windows that shared text compresses better than a window worth learning
+    telling: float = 0.98  # share of ordinary windows that a toxic one of the second round must exceed
     divisor: int = 4
     held: int = 2
     threshold: float = 0.3
 
-    @property
-    def features(self) -> int:
-        return 5 * len(self.windows) + 1
-
 
-#: Lazy search with room for both dictionaries: faster strategies miss matches at random, and their noise hides the savings.
+#: Lazy search with room for the dictionaries: faster strategies miss matches at random, and their noise hides the differences.
 SEARCH = zstandard.ZstdCompressionParameters(
-    strategy=zstandard.STRATEGY_LAZY2, window_log=18, hash_log=18, chain_log=18, search_log=7, min_match=4, target_length=64, write_content_size=False, write_dict_id=False, write_checksum=False
+    strategy=zstandard.STRATEGY_LAZY2, window_log=17, hash_log=16, chain_log=17, search_log=5, min_match=4, target_length=64, write_content_size=False, write_dict_id=False, write_checksum=False
 )
-#: A telling gram is rarer in ordinary texts than this share of its frequency in toxic ones.
-RATIO = 0.015
-_WORD = re.compile(rb"\S+\s?")
+FEATURES = 9
 
 
 def windows(raw: bytes, size: int):
@@ -68,39 +75,41 @@ def windows(raw: bytes, size: int):
         at = end
 
 
+def compressor(content: bytes):
+    """Compresses with ``content`` at hand. A trained dictionary's content counts; its entropy tables, fitted to a class as a whole, do not."""
+    d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    d.precompute_compress(compression_params=SEARCH)
+    return zstandard.ZstdCompressor(dict_data=d, compression_params=SEARCH).compress
+
+
 class Model:
     """Pickles as dictionaries and numbers; compressors are made where they are used."""
 
-    def __init__(self, ordinary: bytes, toxic: bytes, coefficients: np.ndarray, s: Settings):
-        self.ordinary, self.toxic, self.coefficients, self.s = ordinary, toxic, coefficients, s
-        self._pair = None
+    def __init__(self, pairs: list[tuple[bytes, bytes, bytes]], coefficients: np.ndarray, s: Settings):
+        self.pairs, self.coefficients, self.s = pairs, coefficients, s  # pairs: ordinary, toxic, shared
+        self._made = None
 
     def __getstate__(self):
-        return self.__dict__ | {"_pair": None}
+        return self.__dict__ | {"_made": None}
 
     def compressors(self):
-        if self._pair is None:
-            made = []
-            for content in (self.ordinary, self.toxic + self.ordinary):
-                d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-                d.precompute_compress(compression_params=SEARCH)
-                made.append(zstandard.ZstdCompressor(dict_data=d, compression_params=SEARCH).compress)
-            self._pair = made
-        return self._pair
-
-    def features(self, raw: bytes) -> list[float]:
-        """For each window size: the greatest saving, the roots of the shares of windows that save 2, 3 and 4 bytes, the mean saving; then the logarithm of the length."""
-        plain, with_toxic = self.compressors()
-        out = []
-        for size in self.s.windows:
-            saved = Counter(len(plain(w)) - len(with_toxic(w)) for w in windows(raw, size))
+        if self._made is None:
+            self._made = [(compressor(o + shared), compressor(t + shared)) for o, t, shared in self.pairs]
+        return self._made
+
+    def features(self, raw: bytes) -> np.ndarray:
+        """Of the bytes that the toxic dictionary saves in each window: scaled sum, mean, greatest, roots of the shares of at least 2, 3, 4, 6 and at most -3; the logarithm of the length."""
+        out = np.zeros(FEATURES)
+        for ordinary, toxic in self.compressors():
+            saved = Counter(len(ordinary(w)) - len(toxic(w)) for w in windows(raw, self.s.window))
             n = max(1, sum(saved.values()))
-            share = [sum(c for k, c in saved.items() if k >= t) / n for t in (2, 3, 4)]
-            out += [min(max(saved, default=0), 12), *map(np.sqrt, share), sum(c * k for k, c in saved.items() if k > 0) / n]
-        return [max(0.0, x) for x in out] + [np.log1p(len(raw))]
+            total = sum(k * c for k, c in saved.items())
+            share = [sum(c for k, c in saved.items() if k >= t) / n for t in (2, 3, 4, 6)] + [sum(c for k, c in saved.items() if k <= -3) / n]
+            out += np.r_[total / np.sqrt(n), total / n, min(max(saved, default=0), 12), np.sqrt(share), np.log1p(len(raw))]
+        return out / max(1, len(self.pairs))
 
     def score(self, raws) -> np.ndarray:
-        x = np.array([self.features(r) for r in raws], float).reshape(-1, self.s.features)
+        x = np.array([self.features(r) for r in raws], float).reshape(-1, FEATURES)
         z = np.column_stack((np.ones(len(x)), x)) @ self.coefficients
         return 1 / (1 + np.exp(-np.clip(z, -35, 35)))
 
@@ -109,11 +118,12 @@ def encoded(text: str | None) -> bytes:
     return (text or "").lower().encode("utf-8", "surrogatepass")
 
 
-def sliced(raw: bytes, most: int, parts: int = 8) -> bytes:
-    if len(raw) <= most:
-        return raw
-    step, each = len(raw) // parts, most // parts
-    return b"\n".join(raw[i * step : i * step + each] for i in range(parts))
+def drawn(raw: bytes, seed: int, s: Settings) -> list[bytes]:
+    """At most ``pieces`` pieces of a whole text, drawn at random."""
+    found = list(windows(raw, s.piece))
+    if len(found) <= s.pieces:
+        return found
+    return [found[k] for k in sorted(np.random.default_rng(seed).permutation(len(found))[: s.pieces])]
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05, rounds: int = 60) -> np.ndarray:
@@ -130,77 +140,85 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05, rounds: int = 60
     return np.r_[w[0] - (w[1:] * mean / deviation).sum(), w[1:] / deviation]
 
 
-def distinct_texts(texts: list[bytes], k: int, sketch: int = 24) -> list[bytes]:
-    """``texts`` without near copies of earlier ones (half of the smallest hashes of their k-grams shared)."""
-    kept, owner = [], {}
-    for raw in texts:
-        marks = sorted({zlib.crc32(raw[i : i + k]) for i in range(len(raw) - k + 1)})[:sketch]
-        shared = Counter(owner[m] for m in marks if m in owner)
-        if shared and max(shared.values()) * 2 >= len(marks):
-            continue
-        for m in marks:
-            owner.setdefault(m, len(kept))
-        kept.append(raw)
-    return kept
-
-
-def telling_words(toxic: list[bytes], ordinary: list[bytes], k: int) -> list[bytes]:
-    """Words of toxic texts that hold a byte k-gram far more usual there than in ordinary texts."""
-    toxic = distinct_texts(toxic, k)  # a word must stand in texts that are not copies of each other
-    seen = [Counter(), Counter()]
-    for counter, texts in zip(seen, (ordinary, toxic), strict=True):
-        for raw in texts:
-            counter.update({raw[i : i + k] for i in range(len(raw) - k + 1)})
-    need = max(3, 0.01 * len(toxic))
-    good = {g for g, c in seen[1].items() if c >= need and (seen[0][g] + 0.5) / len(ordinary) < RATIO * c / len(toxic)}
-    found = []
-    for raw in toxic:
-        for m in _WORD.finditer(raw):
-            start, end = max(0, m.start() - 1), m.end()
-            if any(raw[i : i + k] in good for i in range(start, end - k + 1)):
-                found.append(raw[start:end])
-    return found
-
-
-def dictionary(size: int, samples: list[bytes]) -> bytes:
-    """A trained dictionary; the samples themselves where they are too few to train on."""
+def dictionary(size: int, samples: list[bytes], k: int) -> bytes:
+    """A trained dictionary; the samples themselves where they are too few or too alike to train on."""
     try:
-        return zstandard.train_dictionary(size, samples).as_bytes()
+        made = zstandard.train_dictionary(size, samples, k=k, d=8).as_bytes()
     except zstandard.ZstdError:
-        return b"".join(dict.fromkeys(samples))[-size:]
+        made = b""
+    return made if 2 * len(made) >= size else (made + b"".join(dict.fromkeys(samples)))[-size:]
+
+
+def train_pair(ordinary: list[list[bytes]], toxic: list[list[bytes]], s: Settings, seed: int) -> tuple[bytes, bytes, bytes]:
+    """(ordinary, toxic, shared) from the pieces of each class's documents. ``seed`` deals the documents to halves."""
+    rng = np.random.default_rng(seed)
+    deal = lambda texts: [[texts[k] for k in half] for half in (lambda o: (o[::2], o[1::2]))(rng.permutation(len(texts)))]
+    (first, second), halves = deal(ordinary), deal(toxic)
+    cut = lambda texts, size: [w for pieces in texts for p in pieces for w in windows(p, size)]
+    shared = dictionary(s.shared_bytes, cut(first, s.piece), 64)
+    plain = compressor(shared)
+    cost = lambda w: len(plain(w)) / len(w)
+    fresh = cut(second, 48)
+    costs = np.array([cost(w) for w in fresh])
+    bar = np.quantile(costs, s.hard) if len(costs) else 0.0
+    usual = [w for w, c in zip(fresh, costs) if c >= bar]
+    hard = [[w for w in cut(half, 48) if cost(w) >= bar] for half in halves]
+    known = compressor(dictionary(2 * s.class_bytes, usual, 24) + shared)
+    tests, found = cut(first[: max(1, len(first) // 4)], 32), []
+    for half, other in ((0, 1), (1, 0)):
+        trial = compressor(dictionary(2 * s.class_bytes, hard[other], 24) + shared)
+        gain = lambda w: len(known(w)) - len(trial(w))  # noqa: E731, B023
+        least = max(1, np.quantile([gain(w) for w in tests], s.telling)) if tests else 1
+        found += [w for w in cut(halves[half], 32) if gain(w) > least]
+    if len(found) < 100:  # too few documents for a second round
+        found = hard[0] + hard[1]
+    return dictionary(s.class_bytes, usual, 24), dictionary(s.class_bytes, found, 24), shared
+
+
+def train_dictionaries(rows: list[tuple[int, int, list[bytes]]], s: Settings) -> Model | None:
+    """Rows: (doc_id, label, pieces). None without both classes."""
+    rows = sorted(rows, key=lambda r: (r[0], r[1]))
+    ordinary, toxic = ([r[2] for r in rows if r[1] == label] for label in (0, 1))
+    if not any(ordinary) or not any(toxic):
+        return None
+    return Model([train_pair(ordinary, toxic, s, seed) for seed in range(s.committee)], np.zeros(FEATURES + 1), s)
 
 
-def train(rows: list[tuple[int, int, bytes]], s: Settings, rate: float = 0.5) -> Model:
-    """Rows: (doc_id, label, bytes). ``rate``: the share of toxic ones among all rows that may be learned from."""
-    rows = sorted(rows, key=lambda r: (r[0], r[1]))
-    halves = [[[r[2] for k, r in enumerate(q for q in rows if q[1] == label) if k % 4 != 3], [r[2] for k, r in enumerate(q for q in rows if q[1] == label) if k % 4 == 3]] for label in (0, 1)]
-    (ordinary, ordinary_test), (toxic, toxic_test) = halves
-    words = telling_words(toxic, ordinary, s.gram) if toxic and ordinary else []
-    if not words:
-        return Model(b"", b"", np.r_[-35.0, np.zeros(s.features)], s)
-    cut = [w for raw in ordinary for w in windows(raw[:8192], 48)]
-    cut = [cut[i] for i in np.random.default_rng(5).permutation(len(cut))[:40000]]
-    words = [words[i] for i in np.random.default_rng(6).permutation(len(words))]
-    model = Model(dictionary(s.ordinary_bytes, cut), dictionary(s.toxic_bytes, (words * (1 + 20000 // len(words)))[:20000]), np.zeros(s.features + 1), s)
-    if len(toxic_test) < 20:  # too few: calibrated on what the dictionaries have seen
-        ordinary_test, toxic_test = ordinary + ordinary_test, toxic + toxic_test
-    x = np.array([model.features(r) for r in ordinary_test + toxic_test])
-    y = np.r_[np.zeros(len(ordinary_test)), np.ones(len(toxic_test))]
+def calibrate(model: Model, x: np.ndarray, y: np.ndarray, rate: float) -> None:
+    """``rate``: the share of toxic ones among all rows that may be learned from, where the sample has another."""
     model.coefficients = logistic(x, y)
     rate = min(max(rate, 0.001), 0.999)
-    model.coefficients[0] += np.log(rate / (1 - rate)) - np.log(len(toxic_test) / len(ordinary_test))
-    return model
+    model.coefficients[0] += np.log(rate / (1 - rate)) - np.log(y.sum() / (len(y) - y.sum()))
 
 
 def fit(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> Model:
-    sample = labelled_sample(docs, labels, "toxic", s.divisor, s.held, s.per_class)
+    """Three of four sampled documents go into the dictionaries, the others are scored whole for the calibration.
+
+    With fewer than 20 toxic ones for that, it takes all of them.
+    """
+    sample = durable(labelled_sample(docs, labels, "toxic", s.divisor, s.held, s.per_class)).withColumn("test", F.pmod(F.xxhash64("doc_id", F.lit("calibration")), F.lit(4)) == 3)
 
     def shorten(batch):
-        return {"doc_id": batch.column("doc_id"), "label": batch.column("label"), "raw": [sliced(encoded(t), s.sample_bytes) for t in batch.column("text").to_pylist()]}
+        ids = batch.column("doc_id").to_pylist()
+        return {"doc_id": batch.column("doc_id"), "label": batch.column("label"), "pieces": [drawn(encoded(t), k % (1 << 32), s) for k, t in zip(ids, batch.column("text").to_pylist())]}
+
+    found = arrow_map(sample.filter("not test").drop("test"), shorten, "doc_id long, label int, pieces array<binary>").collect()
+    model = train_dictionaries([(r.doc_id, r.label, [bytes(p) for p in r.pieces]) for r in found], s)
+    if model is None:
+        return Model([], np.r_[-35.0, np.zeros(FEATURES)], s)
+    packed = pickle.dumps(model)
 
-    found = arrow_map(sample, shorten, "doc_id long, label int, raw binary").collect()
+    def measure(batch, held=[]):  # noqa: B006  one model a worker
+        held or held.append(pickle.loads(packed))
+        return {"label": batch.column("label"), "x": [held[0].features(encoded(t)).tolist() for t in batch.column("text").to_pylist()]}
+
+    tests = sample.filter("test")
+    if tests.filter("label = 1").count() < 20 or tests.filter("label = 0").count() < 20:
+        tests = sample
+    seen = arrow_map(tests.select("label", "text"), measure, "label int, x array<double>").collect()
     rate = labels.filter(id_remainder("doc_id", s.divisor) != s.held).agg(F.avg(F.col("toxic").cast("double"))).first()[0]
-    return train([(r.doc_id, r.label, bytes(r.raw)) for r in found], s, 0.5 if rate is None else rate)
+    calibrate(model, np.array([r.x for r in seen]), np.array([float(r.label) for r in seen]), 0.5 if rate is None else rate)
+    return model
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
