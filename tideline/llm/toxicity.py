@@ -58,7 +58,7 @@ class Settings:
 
 #: Lazy search with room for the dictionaries: faster strategies miss matches at random, and their noise hides the differences.
 SEARCH = zstandard.ZstdCompressionParameters(
-    strategy=zstandard.STRATEGY_LAZY2, window_log=17, hash_log=16, chain_log=17, search_log=5, min_match=4, target_length=64, write_content_size=False, write_dict_id=False, write_checksum=False
+    strategy=zstandard.STRATEGY_LAZY, window_log=17, hash_log=16, chain_log=17, search_log=4, min_match=4, target_length=64, write_content_size=False, write_dict_id=False, write_checksum=False
 )
 FEATURES = 9
 
