@@ -132,17 +132,23 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, target: str, divisor: in
 HEAVY, FEW = 10_000, 200
 
 
-def heavy_keys(rows: DataFrame, keys: list[str], total: int) -> DataFrame:
-    """(keys..., parts) of keys that hold more than a ``HEAVY``-th of ``total`` rows (and more than ``FEW``).
+def heavy_keys(rows: DataFrame, keys: list[str], total: int) -> DataFrame | None:
+    """(keys..., parts) of keys that hold more than a ``HEAVY``-th of ``total`` rows (and more than ``FEW``); None if there is none.
 
-    Whatever the table, fewer than ``HEAVY`` keys can; so the result may be broadcast.
+    Whatever the table, fewer than ``HEAVY`` keys can; so the result may come to the driver and be broadcast.
     """
+    if total <= FEW:
+        return None
     bound = max(FEW, total // HEAVY)
-    return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > bound).select(*keys, F.ceil(F.col("_n") / bound).cast("int").alias("_parts"))
+    found = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > bound).select(*keys, F.ceil(F.col("_n") / bound).cast("int").alias("_parts"))
+    held = found.collect()  # fewer than HEAVY rows
+    return rows.sparkSession.createDataFrame(held, found.schema) if held else None
 
 
-def spread_join(many: DataFrame, one: DataFrame, keys: list[str], heavy: DataFrame, how: str = "inner") -> DataFrame:
+def spread_join(many: DataFrame, one: DataFrame, keys: list[str], heavy: DataFrame | None, how: str = "inner") -> DataFrame:
     """``many`` joined to ``one`` (a row for each key) where heavy keys are dealt over their parts: no task gets one whole."""
+    if heavy is None:
+        return many.join(one, keys, how)
     known = F.broadcast(heavy)  # fewer than HEAVY rows, see there
     parts = F.coalesce("_parts", F.lit(1))
     left = many.join(known, keys, "left").withColumn("_part", F.pmod(F.xxhash64(*many.columns), parts).cast("int")).drop("_parts")

@@ -27,7 +27,8 @@ def _star(edges: DataFrame, total: int) -> DataFrame:
     # Small star: u and its smaller neighbours are linked to the least of these.
     low = large.groupBy("u").agg(F.min("v").alias("m"))
     ends = F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")
-    return spread_join(large, low, ["u"], heavy_keys(large, ["u"], total)).select(ends).select("e.u", "e.v").filter("u > v").distinct()
+    # A node has no more smaller neighbours now than before, so the edges' heavy keys cover those of the large star.
+    return spread_join(large, low, ["u"], heavy_keys(edges, ["u"], total)).select(ends).select("e.u", "e.v").filter("u > v").distinct()
 
 
 def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:

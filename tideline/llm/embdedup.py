@@ -167,7 +167,8 @@ def duplicates(vectors: DataFrame, threshold: float = 0.98, chunk: int | None =
         .select("label", "t", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "class_id", "weight", "keys", "unit")
     )
     group = ["label", "t", "key", "i", "j"]
-    sorted_rows = dealt.repartition(*group).sortWithinPartitions(*group, "own")
+    # The work follows comparisons, not bytes: partitions of few bytes aren't merged into tasks of much work.
+    sorted_rows = dealt.repartition(int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")), *group).sortWithinPartitions(*group, "own")
 
     def run(batches):
         schema = pa.schema([("class_id", pa.int64()), ("root", pa.int64()), ("links", pa.int64())])

@@ -9,9 +9,9 @@ at a time, so packing patterns with counts are updated instead of single
 packs. Where no pack has room, new packs take as many copies as fit. Patterns
 become slots (length, range of ranks) -> (sequences, offset), and pieces join
 them by their rank among the pieces of their length. Ranks come from counts by
-(length, salt) and a row number within these; there is a salt for every
-``GROUP`` rests, so a group stays about that large even where all rests have
-one length.
+(length, salt) and a row number within these; there are ``SALTS`` salts, and
+beyond that one for every ``GROUP`` rests, so a group stays about that large
+even where all rests have one length.
 
 Null text counts as empty: a piece of the end id alone. A very long text is cut
 into many pieces; memory follows one text. Ids may be null or repeated; each
@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from .common import arrow_map, durable
 
-SIZE, END_ID, GROUP = 2048, 1, 100_000  # GROUP: rests that one rank group holds, about
+SIZE, END_ID, SALTS, GROUP = 2048, 1, 256, 100_000  # GROUP: rests that one rank group holds, about
 SLOT = "length long, first long, last long, sequence_base long, base_offset long, copies long"
 
 
@@ -152,7 +152,7 @@ def pack(docs: DataFrame, size: int = SIZE, vocabulary: str | None = None, ranks
     spark = docs.sparkSession
     every = durable(pieces(docs, size, vocabulary, ranks))
     cut = every.filter(F.col("length") < size)
-    salts = max(1, round(cut.count() / group))
+    salts = max(SALTS, round(cut.count() / group))
     cut = cut.withColumn("salt", F.pmod(F.xxhash64("doc_id", "start", F.spark_partition_id()), F.lit(salts)))
     counts = durable(cut.groupBy("length", "salt").agg(F.count(F.lit(1)).alias("n")))
     histogram = {r.length: r.n for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # less than ``size`` rows

@@ -116,7 +116,9 @@ def _with_masks(rows: DataFrame) -> DataFrame:
 
 def _link_buckets(rows: DataFrame, keys: list[str]) -> DataFrame:
     """Forest links of buckets of bounded size: rows dealt and sorted by ``keys``, streamed group by group."""
-    dealt = rows.repartition(*keys).sortWithinPartitions(*keys)
+    # The work follows comparisons, not bytes: partitions of few bytes aren't merged into tasks of much work.
+    partitions = rows.sparkSession.conf.get("spark.sql.shuffle.partitions")
+    dealt = rows.repartition(int(partitions), *keys).sortWithinPartitions(*keys)
 
     def run(batches):
         import pyarrow as pa

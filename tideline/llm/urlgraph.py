@@ -89,7 +89,7 @@ def propagate(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, toleran
         return seeds.select("host", "kind", ((1 - damping) * F.col("seed")).alias("score"))
     along = edges.select(F.col("src").alias("host"), F.col("dst").alias("to"), F.lit(0).alias("kind"), "n")
     flow = durable(along.union(edges.select(F.col("dst").alias("host"), F.col("src").alias("to"), F.lit(1).alias("kind"), "n")))
-    heavy = durable(heavy_keys(flow, ["host", "kind"], flow.count()))
+    heavy = heavy_keys(flow, ["host", "kind"], flow.count())
     none = F.lit(0.0)
     start = flow.select("host", "kind", none.alias("seed"), "n").union(flow.select(F.col("to"), "kind", none, F.lit(0).cast("long"))).union(seeds.select("host", "kind", "seed", F.lit(0).cast("long")))
     start = durable(start.groupBy("host", "kind").agg(F.sum("seed").alias("seed"), F.sum("n").alias("links")))
