@@ -43,14 +43,12 @@ def durable(df: DataFrame) -> DataFrame:
 
 
 def arrow_map(df: DataFrame, function: Callable[[pa.RecordBatch], Iterator[dict] | dict], schema: str) -> DataFrame:
-    """``mapInArrow`` for functions that turn a batch into columns (a dict), or yield several."""
+    """``mapInArrow`` for functions that turn a batch into columns (a dict), or yield several; see :func:`few_rows`."""
     ship(df.sparkSession)
     arrow_schema = to_arrow(df.sparkSession, schema)
 
     def run(batches):
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in few_rows(batches):
             made = function(batch)
             for columns in [made] if isinstance(made, dict) else made:
                 yield pa.RecordBatch.from_arrays([as_array(columns[f.name], f.type) for f in arrow_schema], schema=arrow_schema)
@@ -58,6 +56,13 @@ def arrow_map(df: DataFrame, function: Callable[[pa.RecordBatch], Iterator[dict]
     return df.mapInArrow(run, schema)
 
 
+def few_rows(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of few rows, so that a worker holds few texts as Python objects at a time; none is empty."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def arrow_rows(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
     """``mapInArrow`` with this package at hand on the executors."""
     ship(df.sparkSession)

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytehash
-from .common import arrow_map, arrow_rows, id_remainder, labelled_sample, text_batches
+from .common import arrow_map, arrow_rows, few_rows, id_remainder, labelled_sample, text_batches
 
 
 @dataclass(frozen=True)
@@ -153,8 +153,7 @@ def accepted(docs: DataFrame, weights: np.ndarray, s: Settings = Settings()) ->
     import pyarrow as pa
 
     def run(batches):
-        for batch in batches:
-            if batch.num_rows:
-                yield batch.filter(pa.array(score_texts(batch.column("text").to_pylist(), weights, s.bits) >= s.threshold))
+        for batch in few_rows(batches):
+            yield batch.filter(pa.array(score_texts(batch.column("text").to_pylist(), weights, s.bits) >= s.threshold))
 
     return arrow_rows(docs, run, docs.schema)

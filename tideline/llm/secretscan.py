@@ -33,7 +33,7 @@ from collections import Counter, defaultdict
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, arrow_rows
+from .common import arrow_map, arrow_rows, few_rows
 
 KINDS = ("assign", "access", "hex", "named")
 REPLACEMENT = "[REDACTED]"
@@ -331,7 +331,7 @@ def redacted(docs: DataFrame) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in few_rows(batches):
             names = batch.schema.names
             texts = batch.column("text").to_pylist()
             new = [redact(t, spans) if t and (spans := scan(t)[1]) else t for t in texts]

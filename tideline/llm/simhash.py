@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_map, arrow_rows, durable, heavy_keys, spread_join
+from .common import arrow_map, arrow_rows, durable, few_rows, heavy_keys, spread_join
 from .components import connected_components
 
 WORDS, RADIUS, SEED = 4, 4, 42
@@ -229,7 +229,7 @@ def _with_fingerprints(rows: DataFrame) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in few_rows(batches):
             prints = np.array([fingerprint(t) for t in batch.column("text").to_pylist()], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(prints)], names=[*batch.schema.names, "fp"])
 

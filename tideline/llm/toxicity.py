@@ -35,7 +35,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, arrow_rows, durable, id_remainder, labelled_sample
+from .common import arrow_map, arrow_rows, durable, few_rows, id_remainder, labelled_sample
 
 
 @dataclass(frozen=True)
@@ -246,8 +246,7 @@ def accepted(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches):
         held = pickle.loads(packed)
-        for batch in batches:
-            if batch.num_rows:
-                yield batch.filter(pa.array(held.score(map(encoded, batch.column("text").to_pylist())) < held.s.threshold))
+        for batch in few_rows(batches):
+            yield batch.filter(pa.array(held.score(map(encoded, batch.column("text").to_pylist())) < held.s.threshold))
 
     return arrow_rows(docs, run, docs.schema)
