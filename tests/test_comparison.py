@@ -186,6 +186,29 @@ def test_t_tail_matches_known_values():
         assert float(t_two_sided(t, v)) == pytest.approx(p, rel=1e-3)
 
 
+def test_t_tail_matches_integration_at_any_degrees():
+    import math
+
+    import numpy as np
+
+    from tideline.functions.special import t_two_sided
+
+    def integral(t, v, n=200_001):  # of the density from t on, by x = t + s / (1 - s)
+        s = (np.arange(n) + 0.5) / n
+        x = t + s / (1 - s)
+        level = math.lgamma((v + 1) / 2) - math.lgamma(v / 2) - 0.5 * math.log(v * math.pi)
+        return 2 * np.mean(np.exp(level - (v + 1) / 2 * np.log1p(x * x / v)) / (1 - s) ** 2)
+
+    for v in (1, 2, 7, 74, 199, 400, 1000, 5000, 10**5, 10**6):
+        for t in (0.001, 0.3, 1.0, 2.0, 3.0, 6.0):
+            assert float(t_two_sided(t, v)) == pytest.approx(integral(t, v), rel=1e-6), (t, v)
+    many = np.random.default_rng(0).standard_normal(2000) * 4
+    for v in (3, 999.0, 1e6, 1e8):
+        p = t_two_sided(many, np.full(2000, v))
+        assert np.isfinite(p).all() and (np.diff(p[np.argsort(np.abs(many))]) <= 1e-12).all()
+    assert float(t_two_sided(math.inf, 5)) < 1e-300 and float(t_two_sided(0.0, 5)) == 1.0
+
+
 def test_holm_by_hand(spark):
     df = spark.createDataFrame([("f", k, p) for k, p in enumerate([0.04, 0.03, 0.02, 0.01])], "family string, k int, p_value double")
     assert [round(r.p_holm, 6) for r in inference.holm(df, ["family"]).orderBy("k").collect()] == [0.06, 0.06, 0.06, 0.04]

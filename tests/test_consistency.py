@@ -2,7 +2,7 @@ from tideline.plans.queries import QUERIES
 
 
 def test_inconsistent_actuals_count_their_rows(spark, monkeypatch):
-    rows = [("a", 1, "5", 2.0), ("a", 1, "5", 2.5), ("a", 1, "5", 2.0), ("a", 1, "6", 3.0), ("a", 1, "6", 3.0)]
-    panel = spark.createDataFrame(rows, "variable string, horizon int, forecast_origin string, actual double")
+    rows = [("m", "a", 1, "5", 5, 2.0), ("n", "a", 1, "5", 5, 2.5), ("o", "a", 1, "5", 5, 2.0), ("m", "a", 1, "4", 4, 3.0), ("n", "a", 1, "4", 4, 3.0)]
+    panel = spark.createDataFrame(rows, "model string, variable string, horizon int, forecast_origin string, origin_ord long, actual double")
     monkeypatch.setattr("tideline.plans.datasets.panel", lambda *_: panel)
-    assert [tuple(r) for r in QUERIES["realisation_consistency"](spark, "").collect()] == [("a", 1, 0.5, 3)]
+    assert [tuple(r) for r in QUERIES["realisation_consistency"](spark, "").collect()] == [("a", 1, "5", 0.5, 3)]

@@ -61,7 +61,7 @@ def test_periods(spark):
 
 def test_scalars(spark):
     df = spark.createDataFrame([("LinAlgError: Singular",), ("TimeoutError",), ("x",), (None,), ("KeyboardInterrupt",), ("OutOfMemory",)], "e string")
-    assert [r[0] for r in df.select(scalars.failure_class(F.col("e"))).collect()] == ["numerical", "timeout", "unknown", "unknown", "cancelled", "memory"]
+    assert [r[0] for r in df.select(scalars.failure_class(F.col("e"))).collect()] == ["numerical", "timeout", "runtime", "unknown", "cancelled", "runtime"]
     with pytest.raises(Exception, match="unknown transform"):
         spark.sql("select 1D x, 'sqrt' k").select(scalars.transform(F.col("x"), F.col("k"))).collect()
     t = spark.sql("select 0.3D x").select(scalars.to_box(scalars.to_unbounded(F.col("x"), F.lit(0.0), F.lit(2.0)), F.lit(0.0), F.lit(2.0)).alias("y")).first().y

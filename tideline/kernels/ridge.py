@@ -120,20 +120,22 @@ def information_criteria(y: np.ndarray, p: int) -> tuple[float, float]:
 MAX_LAG = 4  # of the benchmarks
 
 
-def benchmark(y: np.ndarray, kind: str, horizons: list[int], max_lag: int = MAX_LAG) -> tuple[np.ndarray | None, int]:
-    """no_change, var_aic, var_bic or ar_univariate; (forecasts, chosen lag)."""
+def criterion_lag(y: np.ndarray, which: int, max_lag: int) -> int:
+    """The lag of least criterion (0: AIC, 1: BIC) among those that leave observations to fit on, the shorter on ties; 1 if none does."""
+    usable = [p for p in range(1, max_lag + 1) if len(y) - p > 1 + p * y.shape[1]] or [1]
+    return min(usable, key=lambda p: (information_criteria(y, p)[which], p))
+
+
+def benchmark(y: np.ndarray, kind: str, horizons: list[int], max_lag: int = MAX_LAG) -> tuple[np.ndarray | None, list[int]]:
+    """no_change, var_aic, var_bic or ar_univariate; (forecasts, chosen lag of each variable)."""
+    n = y.shape[1]
     if kind == "no_change":
-        return np.repeat(y[-1:], len(horizons), axis=0), 0
+        return np.repeat(y[-1:], len(horizons), axis=0), [0] * n
     if kind == "ar_univariate":
-        parts = []
-        for j in range(y.shape[1]):
-            one = y[:, j : j + 1]
-            lag = min(range(1, max_lag + 1), key=lambda p: (information_criteria(one, p)[1], p))
-            parts.append(forecast(one, lag, 0.0, 0.0, 1.0, horizons))
-        return (None if any(p is None for p in parts) else np.hstack(parts)), 0
+        lags = [criterion_lag(y[:, j : j + 1], 0, max_lag) for j in range(n)]
+        parts = [forecast(y[:, j : j + 1], lag, 0.0, 0.0, 1.0, horizons) for j, lag in enumerate(lags)]
+        return (None if any(p is None for p in parts) else np.hstack(parts)), lags
     if kind not in ("var_aic", "var_bic"):
         raise ValueError(f"no benchmark {kind}")
-    which = 0 if kind == "var_aic" else 1
-    usable = [p for p in range(1, max_lag + 1) if len(y) - p > 1 + p * y.shape[1]] or [1]
-    lag = min(usable, key=lambda p: (information_criteria(y, p)[which], p))
-    return forecast(y, lag, 0.0, 0.0, 1.0, horizons), lag
+    lag = criterion_lag(y, 0 if kind == "var_aic" else 1, max_lag)
+    return forecast(y, lag, 0.0, 0.0, 1.0, horizons), [lag] * n

@@ -18,31 +18,35 @@ def loss_differentials(pairs: DataFrame, kind: str = "squared") -> DataFrame:
     return pairs.withColumn("d", f(F.col("error_a")) - f(F.col("error_b")))
 
 
-def long_run_variance(series: DataFrame, by: list[str], order: list[str], lags: int | None, kernel: str = "bartlett", value: str = "d") -> DataFrame:
+def long_run_variance(series: DataFrame, by: list[str], order: list[str], lags: int | None, kernel: str = "bartlett", value: str = "d", longest: int | None = None) -> DataFrame:
     """gamma_0 + 2 sum w_k gamma_k, every gamma divided by n; at most n - 1 lags.
 
-    ``lags``: a number, or None where the column ``max_lag`` has it.
+    ``lags``: a number, or None where the column ``max_lag`` has it; ``longest``
+    is its maximum, looked up where it isn't given. All lags are read in one
+    window over each group, so the rows are shuffled once.
     """
+    if lags is None and longest is None:
+        longest = series.agg(F.max("max_lag")).first()[0] or 0
+    most = lags if lags is not None else int(longest)
     group = Window.partitionBy(*by)
-    rows = series.withColumn("_i", F.row_number().over(group.orderBy(*order))).withColumn("_c", F.col(value) - F.avg(value).over(group)).withColumn("_n", F.count(F.lit(1)).over(group))
-    rows = rows.withColumn("_lag", F.least(F.lit(lags) if isinstance(lags, int) else F.col("max_lag"), F.col("_n") - 1))
-    left = rows.select(*by, "_i", "_c", "_n", "_lag", F.explode(F.sequence(F.lit(0), F.col("_lag").cast("int"))).alias("k"))
-    right = rows.select(*by, F.col("_i").alias("_j"), F.col("_c").alias("_d"))
-    keys = [left[c].eqNullSafe(right[c]) for c in by]
-    on = left["_i"] == right["_j"] + left["k"]
-    for k in keys:
-        on = on & k
-    gammas = left.join(right, on).groupBy(*[left[c] for c in by], "k", "_n", "_lag").agg((F.sum(F.col("_c") * F.col("_d"))).alias("s"))
-    weight = F.when(F.col("k") == 0, 1.0).otherwise(2.0 * ((1 - F.col("k") / (F.col("_lag") + 1)) if kernel == "bartlett" else F.lit(1.0)))
-    return gammas.groupBy(*by).agg(F.sum(weight * F.col("s") / F.col("_n")).alias("long_run_variance"), F.first("_n").alias("n"), F.first("_lag").alias("lag"))
-
-
-def dm_statistics(pairs: DataFrame, kind: str = "squared") -> DataFrame:
-    """Statistic, small-sample factor and validity for each contrast and cell; pairs with a null error make it invalid."""
+    placed = group.orderBy(*order)
+    rows = series.withColumn("_c", F.col(value) - F.avg(value).over(group)).withColumn("_n", F.count(F.lit(1)).over(group))
+    rows = rows.withColumn("_lag", F.least(F.lit(most) if lags is not None else F.col("max_lag"), F.col("_n") - 1))
+    rows = rows.withColumns({f"_p{k}": F.col("_c") * (F.lag("_c", k).over(placed) if k else F.col("_c")) for k in range(most + 1)})
+    weight = lambda k: 2.0 * ((1 - F.lit(float(k)) / (F.col("_lag") + 1)) if kernel == "bartlett" else F.lit(1.0))
+    terms = [F.col("_p0")] + [F.when(F.col("_lag") >= k, F.coalesce(f"_p{k}", F.lit(0.0)) * weight(k)).otherwise(0.0) for k in range(1, most + 1)]
+    return rows.groupBy(*by).agg(F.sum(sum(terms[1:], terms[0]) / F.col("_n")).alias("long_run_variance"), F.first("_n").alias("n"), F.first("_lag").alias("lag"))
+
+
+def dm_statistics(pairs: DataFrame, kind: str = "squared", longest: int | None = None) -> DataFrame:
+    """Statistic, small-sample factor and validity for each contrast and cell; pairs with a null error make it invalid.
+
+    ``longest``: the longest horizon, where it is known.
+    """
     by = ["contrast", "variable", "horizon"]
-    rows = loss_differentials(pairs, kind)
+    rows = loss_differentials(pairs, kind).repartition(*by)  # one deal of the rows serves the variances and the means
     whole = rows.filter("d is not null").withColumn("max_lag", F.col("horizon") - 1)
-    lrv = long_run_variance(whole, by, ["origin_ord", "target", "group"], None)
+    lrv = long_run_variance(whole, by, ["origin_ord", "target", "group"], None, longest=None if longest is None else longest - 1)
     means = rows.groupBy(*by).agg(F.avg("d").alias("mean_differential"), F.count(F.lit(1)).alias("n_pairs"), F.count_if(F.col("d").isNull()).alias("n_null"))
     n, h = F.col("n").cast("double"), F.col("horizon").cast("double")
     factor = (n + 1 - 2 * h + h * (h - 1) / n) / n
@@ -57,7 +61,7 @@ def dm_statistics(pairs: DataFrame, kind: str = "squared") -> DataFrame:
     return joined.withColumn("statistic", statistic).select(*by, "n_pairs", "mean_differential", "long_run_variance", "lag", "statistic", "valid", "reason")
 
 
-def dm_tests(pairs: DataFrame, kind: str = "squared") -> DataFrame:
+def dm_tests(pairs: DataFrame, kind: str = "squared", longest: int | None = None) -> DataFrame:
     """As above with p values (Student's t, n - 1) and Holm's adjustment inside each contrast."""
     ship(pairs.sparkSession)
 
@@ -68,7 +72,7 @@ def dm_tests(pairs: DataFrame, kind: str = "squared") -> DataFrame:
         out[good] = t_two_sided(t[good].astype(float), n[good].astype(float) - 1)
         return out.where(good, None)
 
-    return holm(dm_statistics(pairs, kind).withColumn("p_value", p_value("statistic", "n_pairs")), ["contrast"])
+    return holm(dm_statistics(pairs, kind, longest).withColumn("p_value", p_value("statistic", "n_pairs")), ["contrast"])
 
 
 def holm(tests: DataFrame, by: list[str], p: str = "p_value") -> DataFrame:

@@ -18,6 +18,19 @@ def null_safe(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
     return reduce(lambda a, b: a & b, [left[k].eqNullSafe(right[k]) for k in keys])
 
 
+def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """A join by name whose null keys pair; each key once, as in a join by name.
+
+    The sides' key columns get names of their own first, so sides of one origin stay apart.
+    """
+    renamed = right.select(*[F.col(c).alias(f"_right_{c}") if c in keys else F.col(c) for c in right.columns])
+    on = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_right_{k}")) for k in keys])
+    joined = left.join(renamed, on, how)
+    # In a full join a row of the right side alone has its keys there; a key that is null on the left of a pair is null on the right too.
+    key = (lambda k: F.coalesce(F.col(k), F.col(f"_right_{k}")).alias(k)) if how in ("full", "right") else F.col
+    return joined.select(*[key(k) for k in keys], *[c for c in left.columns if c not in keys], *[c for c in right.columns if c not in keys])
+
+
 def shared_keys(panel: DataFrame, by: list[str] = CELL, key: list[str] = OBSERVATION, member: str = "model") -> DataFrame:
     """Keys that every member of their cell has (relational division inside each cell)."""
     present = panel.select(*by, *key, member).distinct()
@@ -50,10 +63,10 @@ def common_sample(panel: DataFrame, models: list[str] | None = None, by: list[st
 
 def sample_report(panel: DataFrame, by: list[str] = CELL) -> DataFrame:
     """For each model and cell: rows, rows on the common sample, keys common and excluded, coverage."""
-    marked = panel.join(shared_keys(panel, by).withColumn("_common", F.lit(True)), by + OBSERVATION, "left")
+    marked = null_safe_join(panel, shared_keys(panel, by).withColumn("_common", F.lit(True)), by + OBSERVATION, "left")
     counts = marked.groupBy("model", *by).agg(F.count(F.lit(1)).alias("n_rows"), F.count("_common").alias("n_common_rows"))
     keys = marked.groupBy(*by).agg(F.countDistinct(F.when(F.col("_common"), F.struct(*OBSERVATION))).alias("n_common_keys"), F.countDistinct(F.struct(*OBSERVATION)).alias("_keys"))
-    return counts.join(keys, by).select("model", *by, "n_rows", "n_common_rows", "n_common_keys", (F.col("_keys") - F.col("n_common_keys")).alias("n_excluded_keys"), (F.col("n_common_rows") / F.col("n_rows")).alias("coverage"))
+    return null_safe_join(counts, keys, by).select("model", *by, "n_rows", "n_common_rows", "n_common_keys", (F.col("_keys") - F.col("n_common_keys")).alias("n_excluded_keys"), (F.col("n_common_rows") / F.col("n_rows")).alias("coverage"))
 
 
 def paired(panel: DataFrame, baseline: str, by: list[str] = CELL) -> DataFrame:
@@ -65,9 +78,9 @@ def paired(panel: DataFrame, baseline: str, by: list[str] = CELL) -> DataFrame:
     keys = by + OBSERVATION
     base = panel.filter(F.col("model") == baseline).select(*keys, F.col("error").alias("base_error"), F.col("actual").alias("base_actual"))
     cells = panel.select("model", *by).distinct()
-    grid = base.join(cells, by).withColumn("_base", F.lit(True))
+    grid = null_safe_join(base, cells, by).withColumn("_base", F.lit(True))
     mine = panel.select("model", *keys, "error", "actual").withColumn("_mine", F.lit(True))
-    both = mine.join(grid, ["model", *keys], "full")
+    both = null_safe_join(mine, grid, ["model", *keys], "full")
     status = (
         F.when(F.col("_mine").isNull(), "missing_model_key")
         .when(F.col("_base").isNull(), "missing_baseline_key")
@@ -111,7 +124,7 @@ def paired_errors(panel: DataFrame, contrasts: DataFrame, by: list[str] = CELL)
     a = panel.select(F.col("model").alias("model_a"), *keys, "origin_ord", F.col("error").alias("error_a"))
     b = panel.select(F.col("model").alias("model_b"), *keys, F.col("error").alias("error_b"))
     # The contrasts' number is the square of the models' at most and independent of the panel's rows; Spark chooses by its size.
-    return a.join(contrasts, "model_a").join(b, ["model_b", *keys])
+    return null_safe_join(a.join(contrasts, "model_a"), b, ["model_b", *keys])
 
 
 def origin_alignment(panel: DataFrame) -> DataFrame:

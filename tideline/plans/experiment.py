@@ -67,6 +67,11 @@ def fitted(windows: DataFrame, grid: list[tuple], study: Study, by: list[str]) -
     return windows.groupBy(*by).applyInPandas(one, schema)
 
 
+def history(origins: DataFrame, panel: DataFrame) -> DataFrame:
+    """Panel rows up to each origin: its positions are listed and met by an equality, not compared row by row."""
+    return origins.withColumn("row_idx", F.explode(F.sequence(F.lit(0), F.col("origin").cast("int")))).join(panel, "row_idx")
+
+
 def scope_grid(panel: DataFrame, study: Study) -> tuple[DataFrame, DataFrame]:
     """(selections, forecasts) for all scopes. ``panel``: long (row_idx, variable, value), complete."""
     spark = panel.sparkSession
@@ -98,11 +103,12 @@ def scope_grid(panel: DataFrame, study: Study) -> tuple[DataFrame, DataFrame]:
     of_origin = planning.event_of_origin(origins, events).select("origin", "event_id")
     picks = of_origin.join(selections, "event_id").join(candidates, ["lam", "p", "alpha", "kappa"]).select("origin", "event_id", "scope", "cell_id", "candidate")
     wanted = picks.groupBy("origin").agg(F.array_distinct(F.collect_list("candidate")).alias("wanted"))  # at most the grid
-    blocks = wanted.join(panel, F.col("row_idx") <= F.col("origin")).select("origin", "row_idx", "variable", "value", "wanted")
+    blocks = history(wanted, panel).select("origin", "row_idx", "variable", "value", "wanted")
     outer_fits = fitted(blocks, rows, study, ["origin"])
     forecasts = picks.join(plan, ["scope", "cell_id"]).join(outer_fits, ["origin", "candidate", "variable", "horizon"])
     actual = panel.select(F.col("row_idx").alias("target"), "variable", F.col("value").alias("actual"))
-    panel_out = forecasts.withColumn("target", F.col("origin") + F.col("horizon")).join(actual, ["target", "variable"]).withColumn("error", F.col("forecast") - F.col("actual"))
+    # A target without an actual stays, without an error.
+    panel_out = forecasts.withColumn("target", F.col("origin") + F.col("horizon")).join(actual, ["target", "variable"], "left").withColumn("error", F.col("forecast") - F.col("actual"))
     return selections, panel_out.select("scope", "cell_id", "event_id", "candidate", "origin", "target", "variable", "horizon", "forecast", "actual", "error")
 
 
@@ -129,12 +135,12 @@ def benchmarks(panel: DataFrame, study: Study, kinds: tuple[str, ...] = ("no_cha
         y = rows.pivot(index="row_idx", columns="variable", values="value").sort_index()[variables].to_numpy(float)
         out = []
         for kind in simple:
-            got, lag = ridge.benchmark(y, kind, horizons)
+            got, lags = ridge.benchmark(y, kind, horizons)
             if got is not None:
-                out += [(kind, int(key[0]), v, h, float(got[i, j]), lag) for i, h in enumerate(horizons) for j, v in enumerate(variables)]
+                out += [(kind, int(key[0]), v, h, float(got[i, j]), lags[j]) for i, h in enumerate(horizons) for j, v in enumerate(variables)]
         return pd.DataFrame(out, columns=[c.split()[0] for c in schema.split(", ")])
 
-    found = origins.join(panel, F.col("row_idx") <= F.col("origin")).groupBy("origin").applyInPandas(one, schema)
+    found = history(origins, panel).groupBy("origin").applyInPandas(one, schema)
     if "var_nested_loss" not in kinds:
         return found
     nested = replace(study, scopes=("pooled",), lam=(0.0,), p=tuple(range(1, ridge.MAX_LAG + 1)), alpha=(0.0,), kappa=(1.0,), every=1, method="iterated", kernel=None)
@@ -169,4 +175,4 @@ def bayesian_forecasts(panel: DataFrame, study: Study, lags: int = 2, draws: int
             return pd.DataFrame([(origin, None, None, None, None, f"{type(failure).__name__}: {failure}")], columns=names)
         return pd.DataFrame([(origin, d, v, h, float(path[h - 1, j]), None) for d, path in enumerate(paths) for h in horizons for j, v in enumerate(variables)], columns=names)
 
-    return origins.join(panel, F.col("row_idx") <= F.col("origin")).groupBy("origin").applyInPandas(one, schema)
+    return history(origins, panel).groupBy("origin").applyInPandas(one, schema)

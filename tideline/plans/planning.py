@@ -52,8 +52,8 @@ def selection_events(origins: DataFrame, every: int | None = None, explicit: lis
 
 
 def event_of_origin(origins: DataFrame, events: DataFrame) -> DataFrame:
-    """The event whose span holds each origin."""
-    return origins.join(events, F.col("idx").between(F.col("applies_from"), F.col("applies_to")))
+    """The event whose span holds each origin; spans are listed, so origins meet them by an equality."""
+    return origins.join(events.withColumn("idx", F.explode(F.sequence(F.col("applies_from").cast("int"), F.col("applies_to").cast("int")))), "idx").select(*origins.columns, *events.columns)
 
 
 def carry_forward(selected: DataFrame, by: list[str], order: str, value: str) -> DataFrame:
@@ -81,8 +81,9 @@ def validation_splits(cutoffs: DataFrame, offsets: dict[int, int], min_train: in
 
 
 def training_rows(panel: DataFrame, splits: DataFrame) -> DataFrame:
-    """Panel rows (row_idx) of each split's training window."""
-    return splits.select("split_id", "cutoff", "train_start", "train_end").join(panel, F.col("row_idx").between(F.col("train_start"), F.col("train_end")))
+    """Panel rows (row_idx) of each split's training window; a window's positions are listed, so rows meet them by an equality."""
+    places = splits.select("split_id", "cutoff", "train_start", "train_end", F.explode(F.sequence(F.col("train_start").cast("int"), F.col("train_end").cast("int"))).alias("row_idx"))
+    return places.join(panel, "row_idx")
 
 
 def target_rows(panel: DataFrame, splits: DataFrame) -> DataFrame:

@@ -150,10 +150,14 @@ def scope_contrasts(spark, sf):
     return pairing.scope_contrasts(D.panel(spark, sf))
 
 
-@query(C + "SELECT variable, horizon, max(actual) - min(actual) AS spread, count(*) AS n FROM panel GROUP BY variable, horizon, origin HAVING max(actual) - min(actual) > 0.000001")
+@query(C + """, planted AS (SELECT variable, horizon, origin, actual + CASE WHEN model = 'mean_5' AND origin % 6 = 0 THEN 0.25 WHEN model = 'mean_3' AND origin % 6 = 1 THEN 0.0000005 ELSE 0 END AS actual FROM panel)
+SELECT variable, horizon, CAST(origin AS VARCHAR) AS forecast_origin, round(max(actual) - min(actual), 6) AS spread, count(*) AS n FROM planted GROUP BY variable, horizon, origin HAVING max(actual) - min(actual) > 0.000001""")
 def realisation_consistency(spark, sf):
-    bad = checks.inconsistent_actuals(D.panel(spark, sf), ["variable", "horizon", "forecast_origin"])
-    return bad.select("variable", "horizon", (F.col("greatest") - F.col("least")).alias("spread"), "n")
+    """Actuals that differ between models, on a panel with planted differences above and below the tolerance."""
+    origin = F.col("origin_ord")
+    moved = F.when((F.col("model") == "mean_5") & (origin % 6 == 0), 0.25).when((F.col("model") == "mean_3") & (origin % 6 == 1), 0.0000005).otherwise(0.0)
+    bad = checks.inconsistent_actuals(D.panel(spark, sf).withColumn("actual", F.col("actual") + moved), ["variable", "horizon", "forecast_origin"])
+    return rounded(bad.select("variable", "horizon", "forecast_origin", (F.col("greatest") - F.col("least")).alias("spread"), "n"))
 
 
 @query("SELECT l_orderkey, l_suppkey, count(*) AS n_rows FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1")
@@ -173,14 +177,14 @@ lrv AS (SELECT contrast, variable, horizon, n, sum(gamma * CASE WHEN k = 0 THEN
 
 
 def contrast_pairs(spark, sf):
-    panel = D.panel(spark, sf).persist()  # both sides of the pairing and the contrasts read it
+    panel = D.panel(spark, sf)  # both sides of the pairing and the contrasts read it, from one shuffle
     return pairing.paired_errors(panel, pairing.scope_contrasts(panel))
 
 
 @query(DIFFERENTIALS + "SELECT contrast, variable, horizon, round(v, 2) AS long_run_variance, n FROM lrv")
 def hac_variance(spark, sf):
     rows = inference.loss_differentials(contrast_pairs(spark, sf)).withColumn("max_lag", F.col("horizon") - 1)
-    out = inference.long_run_variance(rows, ["contrast", "variable", "horizon"], ["origin_ord"], None)
+    out = inference.long_run_variance(rows, ["contrast", "variable", "horizon"], ["origin_ord"], None, longest=max(D.HORIZONS) - 1)
     return rounded(out.select("contrast", "variable", "horizon", "long_run_variance", "n"), 2)
 
 
@@ -188,12 +192,12 @@ def hac_variance(spark, sf):
   CASE WHEN l.n >= greatest(8, l.horizon + 1) AND v > 0.000000000001 THEN round(m.mean_d / sqrt(v / l.n) * sqrt((l.n + 1 - 2 * l.horizon + l.horizon * (l.horizon - 1) / CAST(l.n AS DOUBLE)) / l.n), 5) + 0.0 END AS statistic, l.n >= greatest(8, l.horizon + 1) AND v > 0.000000000001 AS valid
 FROM lrv l JOIN (SELECT contrast, variable, horizon, avg(d) AS mean_d FROM pairs GROUP BY 1, 2, 3) m USING (contrast, variable, horizon)""")
 def dm_statistics(spark, sf):
-    return rounded(inference.dm_statistics(contrast_pairs(spark, sf)).select("contrast", "variable", "horizon", "n_pairs", "mean_differential", "statistic", "valid"), 5)
+    return rounded(inference.dm_statistics(contrast_pairs(spark, sf), longest=max(D.HORIZONS)).select("contrast", "variable", "horizon", "n_pairs", "mean_differential", "statistic", "valid"), 5)
 
 
 @query()
 def dm_tests(spark, sf):
-    return inference.dm_tests(contrast_pairs(spark, sf))
+    return inference.dm_tests(contrast_pairs(spark, sf), longest=max(D.HORIZONS))
 
 
 @query()
@@ -333,10 +337,16 @@ def selection_plan(spark, sf):
     return planning.selection_plan(_targets(spark, sf)).select("scope", "cell_id", "variable", "horizon")
 
 
-@query(PLAN + ", k AS (SELECT scope, variable, horizon, count(*) AS n FROM plan GROUP BY 1, 2, 3) SELECT scope, variable, horizon, n FROM k WHERE n <> 1")
+@query(PLAN + """, faulty AS (SELECT variable, horizon FROM plan WHERE scope = 'variable' AND NOT (variable = '1-URGENT' AND horizon = 4) UNION ALL SELECT variable, horizon FROM plan WHERE scope = 'pooled' AND variable = '2-HIGH' UNION ALL VALUES ('9-NONE', 1))
+SELECT coalesce(t.variable, f.variable) AS variable, coalesce(t.horizon, f.horizon) AS horizon, coalesce(f.n, 0) AS n_cells, t.variable IS NOT NULL AS asked
+FROM t FULL JOIN (SELECT variable, horizon, count(*) AS n FROM faulty GROUP BY 1, 2) f ON t.variable = f.variable AND t.horizon = f.horizon WHERE coalesce(f.n, 0) <> 1 OR t.variable IS NULL""")
 def partition_check(spark, sf):
-    plan = planning.selection_plan(_targets(spark, sf))
-    return plan.groupBy("scope", "variable", "horizon").agg(F.count(F.lit(1)).alias("n")).filter("n <> 1")
+    """Faults of a plan that lacks a target, holds some twice and has one that wasn't asked for."""
+    wanted = _targets(spark, sf)
+    plan = planning.selection_plan(wanted).select("scope", "variable", "horizon")
+    once = plan.filter("scope = 'variable' and not (variable = '1-URGENT' and horizon = 4)")
+    twice = plan.filter("scope = 'pooled' and variable = '2-HIGH'")
+    return checks.partition_faults(once.union(twice).union(literal_table(spark, [("x", "9-NONE", 1)], "scope string, variable string, horizon int")), wanted)
 
 
 @query("""WITH v AS (SELECT DISTINCT o_orderpriority AS variable FROM orders) SELECT variable, CASE WHEN variable IN ('1-URGENT', '2-HIGH') THEN 'Fast' WHEN variable = '5-LOW' THEN 'Slow' ELSE 'other' END AS "group" FROM v""")
@@ -387,9 +397,13 @@ def validation_splits(spark, sf):
     return rounded(s.select("cutoff", "split_id", "train_start", "train_end", "origin", F.element_at("targets", 4).alias("target_4"), "origin_weight"))
 
 
-@query(SPLITS + "SELECT split_id FROM s WHERE train_start > origin OR origin + 4 > cutoff")
+@query(SPLITS + """, planted AS (SELECT cutoff, split_id, train_start, origin, origin + CASE WHEN cutoff % 5 = 0 THEN 1 ELSE 0 END AS train_end, cutoff - CASE WHEN cutoff % 7 = 0 THEN 1 ELSE 0 END AS info_cutoff FROM s)
+SELECT cutoff, split_id FROM planted WHERE train_start > train_end OR train_end > origin OR origin + 4 > info_cutoff""")
 def split_leakage(spark, sf):
-    return checks.leaking_splits(_splits(spark, sf)).select("split_id")
+    """Splits that reach past their origin or their information, among planted ones."""
+    late = F.col("train_end") + F.when(F.col("cutoff") % 5 == 0, 1).otherwise(0)
+    early = F.col("info_cutoff") - F.when(F.col("cutoff") % 7 == 0, 1).otherwise(0)
+    return checks.leaking_splits(_splits(spark, sf).withColumn("train_end", late).withColumn("info_cutoff", early)).select("cutoff", "split_id")
 
 
 @query(SPLITS + ", " + D.PANEL_SQL + """, p AS (SELECT variable, m, y, CAST(row_number() OVER (PARTITION BY variable ORDER BY m) - 1 AS INTEGER) AS row_idx FROM growth)
@@ -579,13 +593,21 @@ def identifiers(spark, sf):
 
 # Failures, costs, metadata -------------------------------------------------------------------------------------------
 
-FAIL = """WITH f AS (SELECT event_type AS model, CASE user_id % 3 WHEN 0 THEN 'fit' WHEN 1 THEN 'forecast' END AS stage, CASE event_id % 5 WHEN 0 THEN 'LinAlgError: Singular matrix' WHEN 1 THEN 'TimeoutError: timed out' WHEN 2 THEN 'FileNotFoundError: no such file' WHEN 3 THEN 'odd thing' END AS error FROM events)"""
+#: A text for each class, the class that it has, and what the text would be if a later word counted first.
+FAILURE_TEXTS = [
+    ("KeyboardInterrupt: stopped", "cancelled"), ("non-finite forecast, nan", "nonfinite_forecast"), ("LinAlgError: Singular matrix", "numerical"), ("got NaN", "numerical"), ("ZeroDivision: divide by zero", "numerical"),
+    ("No such file or directory", "runtime"), ("column missing", "missing_input"), ("vintage not found", "missing_input"), ("ImportError: scipy", "dependency"), ("Permission denied", "permission"), ("TimeoutError: 30 s", "timeout"),
+    ("scale requires a benchmark", "invalid_configuration"), ("shape mismatch", "invalid_configuration"), ("forecast infeasible", "forecast_invalid"), ("forecast came out odd", "runtime"), ("odd thing", "runtime"), ("   ", "unknown"), (None, "unknown"),
+]
+_CASES = " ".join(f"WHEN {k} THEN " + ("NULL" if t is None else f"'{t}'") for k, (t, _) in enumerate(FAILURE_TEXTS))
+_CLASSES = " ".join(f"WHEN {k} THEN '{c}'" for k, (_, c) in enumerate(FAILURE_TEXTS))
+FAIL = f"""WITH f AS (SELECT event_type AS model, CASE user_id % 3 WHEN 0 THEN 'fit' WHEN 1 THEN 'forecast' END AS stage, CASE event_id % {len(FAILURE_TEXTS)} {_CASES} END AS error, CASE event_id % {len(FAILURE_TEXTS)} {_CLASSES} END AS class FROM events)"""
 
 
 def _failures(spark, sf):
-    e = D.table(spark, sf, "events")
-    text = F.when(F.col("event_id") % 5 == 0, "LinAlgError: Singular matrix").when(F.col("event_id") % 5 == 1, "TimeoutError: timed out").when(F.col("event_id") % 5 == 2, "FileNotFoundError: no such file").when(F.col("event_id") % 5 == 3, "odd thing")
-    return e.select(F.col("event_type").alias("model"), F.when(F.col("user_id") % 3 == 0, "fit").when(F.col("user_id") % 3 == 1, "forecast").alias("stage"), text.alias("error"))
+    texts = literal_table(spark, [(k, t) for k, (t, _) in enumerate(FAILURE_TEXTS)], "k int, error string")
+    e = D.table(spark, sf, "events").select("event_type", "user_id", F.pmod("event_id", F.lit(len(FAILURE_TEXTS))).cast("int").alias("k")).join(F.broadcast(texts), "k")  # the texts above
+    return e.select(F.col("event_type").alias("model"), F.when(F.col("user_id") % 3 == 0, "fit").when(F.col("user_id") % 3 == 1, "forecast").alias("stage"), "error")
 
 
 @query(FAIL + "SELECT model, coalesce(stage, 'unknown') AS stage, count(*) AS n_failures FROM f GROUP BY 1, 2 UNION ALL SELECT model, '__total__', count(*) FROM f GROUP BY 1")
@@ -593,7 +615,7 @@ def failure_summary(spark, sf):
     return metrics.failure_summary(_failures(spark, sf))
 
 
-@query(FAIL + "SELECT stage, CASE WHEN error LIKE 'Lin%' THEN 'numerical' WHEN error LIKE 'Time%' THEN 'timeout' WHEN error LIKE 'File%' THEN 'missing_input' ELSE 'unknown' END AS category, count(*) AS n_failures FROM f GROUP BY 1, 2")
+@query(FAIL + "SELECT stage, class AS category, count(*) AS n_failures FROM f GROUP BY 1, 2")
 def failures_by_category(spark, sf):
     return metrics.failures_by_category(_failures(spark, sf))
 
