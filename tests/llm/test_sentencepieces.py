@@ -61,7 +61,7 @@ def test_overlapping_paths_are_committed_where_back_pointers_meet():
     m.pieces = ["a", "aa", "aaa", "ab", "ba"]
     m.score = {"a": (-1.0, 0), "aa": (-1.875, 1), "aaa": (-2.75, 2), "ab": (-1.5, 3), "ba": (-1.5, 4), "b": (-2.0, 5)}
     m.bytes, m.unknown, m.longest = {}, -30.0, 3
-    m.prefixes = {p[:k]: None for p in m.score for k in range(1, len(p))} | m.score
+    m.trie = S.trie(m.score)
     rng = random.Random(9)
     for line in ["a" * 997, "ab" * 400 + "a", "".join(rng.choice("aab") for _ in range(1500))]:
         runs = list(m.stream(line[k : k + 7] for k in range(0, len(line), 7)))

@@ -37,6 +37,17 @@ CHUNK = 64  # characters handed to the search at a time
 CACHE = 600_000  # parts of a chunk at most that a worker remembers, at most
 
 
+def trie(score: dict[str, tuple[float, int]]) -> dict:
+    """By character: (the same for what follows it, score or None, id or -1)."""
+    root: dict = {}
+    for piece, (value, i) in sorted(score.items()):  # a prefix comes before what it begins
+        at = root
+        for c in piece[:-1]:
+            at = at.setdefault(c, ({}, None, -1))[0]
+        at[piece[-1]] = (at[piece[-1]][0] if piece[-1] in at else {}, value, i)
+    return root
+
+
 class Model:
     def __init__(self, path: str):
         import sentencepiece
@@ -56,7 +67,7 @@ class Model:
             self.raw[i] = bytes([b])
         if len(self.bytes) < 256:
             raise ValueError("the model lacks byte pieces")
-        self.prefixes: dict[str, tuple[float, int] | None] = {p[:k]: None for p in self.score for k in range(1, len(p))} | self.score
+        self.trie = trie(self.score)
         splits = not any(META in p.lstrip(META) for p in self.score)
         newline = not any("\n" in p for p in self.score)
         self.part = re.compile(r"\n|[ ]*[^ \n]+|[ ]+" if newline else r"[ ]*[^ ]+|[ ]+") if splits else re.compile(r"(?s).+")
@@ -71,7 +82,7 @@ class Model:
         of them meet there and it is committed; where paths overlap for long,
         their back pointers are followed to the boundary in which they meet.
         """
-        longest, prefixes, score, unknown = self.longest, self.prefixes, self.score, self.unknown
+        longest, root, score, unknown = self.longest, self.trie, self.score, self.unknown
         chunks, more = iter(chunks), True
         held, best, back = "", [0.0], [(0, 0)]  # characters since the last commit; scores and back pointers (boundary, id or -1) of their boundaries
         at = reach = 0  # the boundary whose pieces are tried next; the furthest that any path has come to
@@ -105,13 +116,15 @@ class Model:
                     yield self._path(held, back, meet)
                     held, best, at, reach = held[meet:], best[meet:], at - meet, reach - meet
                     back = [(0, 0)] + [(max(0, b - meet), i) for b, i in back[meet + 1 :]]
-            so_far, n = best[at], len(held)
-            for end in range(at + 1, min(n, at + longest) + 1):
-                hit = prefixes.get(held[at:end], 0)
-                if hit == 0:
+            so_far, n, end, below = best[at], len(held), at, root
+            while end < n:
+                node = below.get(held[end])
+                if node is None:
                     break
-                if hit is not None and so_far + hit[0] > best[end]:
-                    best[end], back[end] = so_far + hit[0], (at, hit[1])
+                end += 1
+                below, value, i = node
+                if value is not None and so_far + value > best[end]:
+                    best[end], back[end] = so_far + value, (at, i)
                     if end > reach:
                         reach = end
             if held[at] not in score and so_far + unknown > best[at + 1]:
