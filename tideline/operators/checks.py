@@ -47,6 +47,19 @@ def conflicting_values(df: DataFrame, fields: list[str]) -> DataFrame:
     return df.agg(*[F.countDistinct(f).alias(f) for f in fields]).unpivot([], fields, "field", "n_values").filter("n_values > 1")
 
 
+def compatible_metadata(df: DataFrame, fields: dict[str, list[str]], label: str = "model", allow_missing: bool = False) -> DataFrame:
+    """Fields of run metadata that don't agree, or that a run lacks: (field, n_values, missing).
+
+    ``fields``: the names under which each field may stand; the first that a
+    run has counts. A missing field is a finding unless ``allow_missing``.
+    """
+    found = {f: F.coalesce(*[F.col(f"`{n}`").cast("string") for n in names if n in df.columns], F.lit(None).cast("string")) for f, names in fields.items()}
+    long = df.select(F.col(label).alias("_label"), F.explode(F.array(*[F.struct(F.lit(f).alias("field"), c.alias("value")) for f, c in found.items()])).alias("e")).select("_label", "e.*")
+    out = long.groupBy("field").agg(F.countDistinct("value").alias("n_values"), F.sort_array(F.collect_set(F.when(F.col("value").isNull(), F.col("_label")))).alias("missing"))  # labels of runs
+    bad = F.col("n_values") > 1
+    return out.filter(bad if allow_missing else bad | (F.size("missing") > 0))
+
+
 def information_lag(df: DataFrame, origin_quarter: Column, last_quarter: Column, expected: int) -> DataFrame:
     return df.withColumn("lag_quarters", origin_quarter - last_quarter).withColumn("as_expected", F.col("lag_quarters") == expected)
 

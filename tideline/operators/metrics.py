@@ -106,6 +106,16 @@ def computational_cost(metadata: DataFrame, json: str, fields: dict[str, list[st
     return metadata.select("model", *[F.expr("null").cast("double").alias(k) if not names else value(names).try_cast("double").alias(k) for k, names in fields.items()])
 
 
+def unpaired_rmse(panel: DataFrame) -> DataFrame:
+    """RMSE of each model and cell on its own rows, whatever the others have: not comparable between models."""
+    return panel.filter("error is not null").groupBy("model", "variable", "horizon").agg(F.sqrt(F.avg(F.col("error") * F.col("error"))).alias("rmse"), F.count(F.lit(1)).alias("n"))
+
+
+def variants(panel: DataFrame, horizon: str = "optimization_horizon") -> DataFrame:
+    """``panel`` with models of several horizons of optimisation kept apart by name."""
+    return panel.withColumn("model", F.when(F.col(horizon).isNull(), F.col("model")).otherwise(F.concat_ws("/", "model", horizon)))
+
+
 def ordered_models(panel: DataFrame, known: list[str]) -> DataFrame:
     """Distinct models, known ones first in their order, then by name."""
     place = F.array_position(F.array(*[F.lit(k) for k in known]), F.col("model"))

@@ -18,6 +18,14 @@ def null_safe(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
     return reduce(lambda a, b: a & b, [left[k].eqNullSafe(right[k]) for k in keys])
 
 
+def tagged(panel: DataFrame, **criteria) -> DataFrame:
+    """Rows that meet all criteria: equal to a value, among a list, or null for None."""
+    for name, value in criteria.items():
+        column = F.col(name)
+        panel = panel.filter(column.isNull() if value is None else column.isin(list(value)) if isinstance(value, (list, tuple, set)) else column == value)
+    return panel
+
+
 def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
     """A join by name whose null keys pair; each key once, as in a join by name.
 
@@ -69,6 +77,16 @@ def sample_report(panel: DataFrame, by: list[str] = CELL) -> DataFrame:
     return null_safe_join(counts, keys, by).select("model", *by, "n_rows", "n_common_rows", "n_common_keys", (F.col("_keys") - F.col("n_common_keys")).alias("n_excluded_keys"), (F.col("n_common_rows") / F.col("n_rows")).alias("coverage"))
 
 
+def sample_totals(panel: DataFrame, by: list[str] = CELL) -> DataFrame:
+    """Over all cells: rows in and on the common sample, keys common and excluded, coverage; a row for each model, and ``__all__``."""
+    report = sample_report(panel, by)
+    rows = lambda c: F.sum(c).alias(c)
+    models = report.groupBy("model").agg(rows("n_rows"), rows("n_common_rows"), rows("n_common_keys"), rows("n_excluded_keys"))
+    cells = report.select(*by, "n_common_keys", "n_excluded_keys").distinct().agg(rows("n_common_keys"), rows("n_excluded_keys"))
+    every = report.agg(rows("n_rows"), rows("n_common_rows")).crossJoin(F.broadcast(cells)).select(F.lit("__all__").alias("model"), "n_rows", "n_common_rows", "n_common_keys", "n_excluded_keys")  # one row each
+    return models.unionByName(every).withColumn("coverage", F.try_divide(F.col("n_common_rows"), F.col("n_rows")))
+
+
 def paired(panel: DataFrame, baseline: str, by: list[str] = CELL) -> DataFrame:
     """Full outer pairing of every model with the baseline on the observation key, with a status for each row.
 
@@ -118,6 +136,11 @@ def exclusions(panel: DataFrame, baseline: str, by: list[str] = CELL) -> DataFra
     return paired(panel, baseline, by).filter("status <> 'common'")
 
 
+def audit(panel: DataFrame, baseline: str, failures: DataFrame, by: list[str] = CELL) -> DataFrame:
+    """The exclusions and, below them, the origins at which a run failed (model, forecast_origin, stage, error), status ``run_failure``."""
+    return exclusions(panel, baseline, by).unionByName(failures.withColumn("status", F.lit("run_failure")), allowMissingColumns=True)
+
+
 def paired_errors(panel: DataFrame, contrasts: DataFrame, by: list[str] = CELL) -> DataFrame:
     """All contrasts (contrast, model_a, model_b) and cells in one self-join: both errors of each shared key."""
     keys = by + OBSERVATION

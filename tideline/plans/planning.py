@@ -112,6 +112,40 @@ def jobs(spark: SparkSession, config: dict) -> DataFrame:
     return literal_table(spark, rows, "job_id string, family string, scope string, variant string, seed int, configuration_hash string")
 
 
+def chosen_jobs(jobs_table: DataFrame, index: list[int] | None = None, **criteria) -> DataFrame:
+    """Jobs that meet all criteria (a value or several, for any column), and of these the ones at the given places by id."""
+    for name, value in criteria.items():
+        if value is not None:
+            jobs_table = jobs_table.filter(F.col(name).isin(list(value) if isinstance(value, (list, tuple, set)) else [value]))
+    if index is None:
+        return jobs_table
+    place = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("job_id")) - 1  # a configuration's jobs
+    return jobs_table.withColumn("_place", place).filter(F.col("_place").isin(index)).drop("_place")
+
+
+#: Which vintage the inner splits of an outer origin read.
+VINTAGE_POLICIES = ("outer_vintage_consistent", "strict_inner_real_time")
+
+
+def split_vintages(splits: DataFrame, policy: str = "outer_vintage_consistent") -> DataFrame:
+    """``splits`` with the vintage that each is trained on: the outer cutoff's, or the split's own origin's."""
+    if policy not in VINTAGE_POLICIES:
+        raise DataError(f"no vintage policy {policy!r}")
+    return splits.withColumn("vintage", F.col("cutoff") if policy == VINTAGE_POLICIES[0] else F.col("origin"))
+
+
+def objective_variables(variables: list[str], forecast: list[str] | None = None, objective: list[str] | None = None) -> tuple[list[str], list[str]]:
+    """What is forecast, and what of it is scored: each a part of what the one before holds, in its order; all of it where not given."""
+    out, held = [], list(variables)
+    for asked, what in ((forecast, "forecast"), (objective, "objective")):
+        asked = held if asked is None else asked
+        if not asked or len(set(asked)) != len(asked) or set(asked) - set(held):
+            raise DataError(f"{what} variables must be some of {', '.join(held)}, each once")
+        held = [v for v in held if v in set(asked)]
+        out.append(held)
+    return out[0], out[1]
+
+
 def fit_counts(events: int, cells: int, candidates: int, inner: int, outer: int) -> dict[str, int]:
     """Fits of a nested study that refits for each cell, and of one that shares fits between cells."""
     return {"per_cell": events * cells * candidates * inner + outer * cells, "shared": events * candidates * inner + outer * cells}

@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 from ..functions import periods, scalars
 from ..functions.tables import literal_table
 from ..kernels import bvar
-from ..operators import checks, inference, losses, metrics, pairing, selection, vintage
+from ..operators import checks, draws, inference, losses, metrics, pairing, selection, vintage
 from . import datasets as D
-from . import experiment, planning, report
+from . import experiment, planning, report, search
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -656,6 +656,95 @@ def lag_design(spark, sf):
     return D.growth(spark, sf).select("variable", "m", F.col("y").alias("l0"), F.lag("y", 1).over(w).alias("l1"), F.lag("y", 2).over(w).alias("l2"), F.lead("y", 3).over(w).alias("target_4"))
 
 
+# Draws, audits, metadata of runs --------------------------------------------------------------------------------------
+
+GROWING = ["1-URGENT", "2-HIGH"]
+PATHS = "WITH " + D.PANEL_SQL + """, d AS (SELECT unnest(range(5)) AS draw), parts AS (
+  SELECT draw, variable, m AS period, value, 'history' AS segment, 0 AS place FROM panel_m, d WHERE m <= 23990
+  UNION ALL SELECT draw, variable, m, value * (1 + draw / 256.0), 'nowcast', 1 FROM panel_m, d WHERE m IN (23990, 23991)
+  UNION ALL SELECT draw, variable, m, value * (1 + (draw - 2) / 128.0), 'forecast', 2 FROM panel_m, d WHERE m >= 23991),
+paths AS (SELECT CAST(draw AS INTEGER) AS draw, variable, period, value, segment FROM parts QUALIFY place = min(place) OVER (PARTITION BY draw, variable, period))"""
+
+
+def _paths(spark, sf):
+    known = D.panel_monthly(spark, sf).select("variable", F.col("m").alias("period"), "value")
+    numbers = literal_table(spark, [(d,) for d in range(5)], "draw int")
+    each = known.join(F.broadcast(numbers))  # five numbers
+    nowcast = each.filter("period in (23990, 23991)").withColumn("value", F.col("value") * (1 + F.col("draw") / 256.0))
+    ahead = each.filter("period >= 23991").withColumn("value", F.col("value") * (1 + (F.col("draw") - 2) / 128.0))
+    return draws.stacked([("history", known.filter("period <= 23990")), ("nowcast", nowcast), ("forecast", ahead)], numbers)
+
+
+@query(PATHS + "SELECT draw, variable, period, round(value, 4) AS value, segment FROM paths")
+def draw_paths(spark, sf):
+    return rounded(_paths(spark, sf), 4)
+
+
+@query(PATHS + """, m AS (SELECT variable, period, draw, value, CASE WHEN variable IN ('1-URGENT', '2-HIGH') THEN 100 * (ln(value) - lag(ln(value)) OVER (PARTITION BY draw, variable ORDER BY period)) ELSE value END AS metric FROM paths),
+l AS (SELECT variable, period, 'level' AS kind, value AS x FROM m UNION ALL SELECT variable, period, 'metric', metric FROM m)
+SELECT variable, period, kind, round(avg(x), 4) AS mean, round(quantile_cont(x, 0.05), 4) AS p05, round(quantile_cont(x, 0.16), 4) AS p16, round(quantile_cont(x, 0.5), 4) AS median, round(quantile_cont(x, 0.84), 4) AS p84, round(quantile_cont(x, 0.95), 4) AS p95, count(x) AS n_draws FROM l GROUP BY 1, 2, 3""")
+def path_summaries(spark, sf):
+    return rounded(draws.path_summaries(_paths(spark, sf), GROWING), 4)
+
+
+@query(V + """, k AS (SELECT series_id, obs AS period, value, 100 * (ln(value) - lag(ln(value)) OVER (ORDER BY obs)) AS growth FROM vintages WHERE vintage = 23988 AND value IS NOT NULL) SELECT series_id, period, round(value, 4) AS value, round(growth, 4) + 0.0 AS metric FROM k""")
+def scoring_frame(spark, sf):
+    panel = D.vintages(spark, sf).select("series_id", F.col("vintage").alias("vintage_date"), F.col("obs").alias("period"), "value")
+    return rounded(draws.scoring_frame(panel, 23988, ["sales"]), 4)
+
+
+@query(C + """, r AS (SELECT p.model, p.variable, p.horizon, count(*) AS n_rows, count(s.origin) AS n_common_rows FROM panel p LEFT JOIN shared s ON p.variable = s.variable AND p.horizon = s.horizon AND p.origin = s.origin GROUP BY 1, 2, 3),
+k AS (SELECT p.variable, p.horizon, count(DISTINCT s.origin) AS n_common_keys, count(DISTINCT p.origin) - count(DISTINCT s.origin) AS n_excluded_keys FROM panel p LEFT JOIN shared s ON p.variable = s.variable AND p.horizon = s.horizon AND p.origin = s.origin GROUP BY 1, 2),
+t AS (SELECT model, sum(n_rows) AS n_rows, sum(n_common_rows) AS n_common_rows, sum(n_common_keys) AS n_common_keys, sum(n_excluded_keys) AS n_excluded_keys FROM r JOIN k USING (variable, horizon) GROUP BY 1
+  UNION ALL SELECT '__all__', (SELECT sum(n_rows) FROM r), (SELECT sum(n_common_rows) FROM r), (SELECT sum(n_common_keys) FROM k), (SELECT sum(n_excluded_keys) FROM k))
+SELECT model, CAST(n_rows AS BIGINT) AS n_rows, CAST(n_common_rows AS BIGINT) AS n_common_rows, CAST(n_common_keys AS BIGINT) AS n_common_keys, CAST(n_excluded_keys AS BIGINT) AS n_excluded_keys, round(n_common_rows / n_rows, 6) AS coverage FROM t""")
+def common_sample_totals(spark, sf):
+    return rounded(pairing.sample_totals(D.panel(spark, sf)))
+
+
+@query(PAIRED + """SELECT model, variable, horizon, CAST(origin AS VARCHAR) AS forecast_origin, status, CAST(NULL AS VARCHAR) AS error FROM status WHERE status <> 'common'
+UNION ALL SELECT DISTINCT model, CAST(NULL AS VARCHAR), CAST(NULL AS INTEGER), CAST(origin AS VARCHAR), 'run_failure', 'failed at ' || origin FROM panel WHERE model = 'mean_5' AND origin % 11 = 0""")
+def exclusion_audit_with_failures(spark, sf):
+    panel = D.panel(spark, sf)
+    failed = panel.filter("model = 'mean_5' and origin_ord % 11 = 0").select("model", "forecast_origin", F.concat(F.lit("failed at "), "forecast_origin").alias("failure")).distinct()
+    return pairing.audit(panel, "no_change", failed).select("model", "variable", "horizon", "forecast_origin", "status", F.col("failure").alias("error"))
+
+
+@query(C + "SELECT model, variable, horizon, round(sqrt(avg(error * error)), 6) AS rmse, count(*) AS n FROM panel GROUP BY 1, 2, 3")
+def unpaired_rmse(spark, sf):
+    return rounded(metrics.unpaired_rmse(D.panel(spark, sf)))
+
+
+@query(C + "SELECT model, variable, horizon, count(*) AS n FROM panel WHERE scope = 'variable' AND horizon IN (1, 4) GROUP BY 1, 2, 3")
+def tag_lookup(spark, sf):
+    return pairing.tagged(D.panel(spark, sf), scope="variable", size=None, horizon=[1, 4]).groupBy("model", "variable", "horizon").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(C + "SELECT model || '/h' || horizon || 'q' AS model, count(*) AS n FROM panel WHERE horizon <> 2 GROUP BY 1 UNION ALL SELECT model, count(*) FROM panel WHERE horizon = 2 GROUP BY 1")
+def model_variants(spark, sf):
+    h = F.when(F.col("horizon") != 2, F.concat(F.lit("h"), F.col("horizon").cast("string"), F.lit("q")))
+    return metrics.variants(D.panel(spark, sf).withColumn("optimization_horizon", h)).groupBy("model").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT 'region' AS field, count(DISTINCT n_regionkey) AS n_values, 0 AS n_missing FROM nation UNION ALL SELECT 'commit', 0, CAST(count(*) AS INTEGER) FROM nation UNION ALL SELECT 'key', count(DISTINCT n_nationkey) FILTER (n_nationkey > 20), CAST(count(*) FILTER (n_nationkey <= 20) AS INTEGER) FROM nation")
+def metadata_findings(spark, sf):
+    runs = D.table(spark, sf, "nation").withColumn("late", F.when(F.col("n_nationkey") > 20, F.col("n_nationkey")))
+    found = checks.compatible_metadata(runs, {"region": ["regionkey", "n_regionkey"], "commit": ["repository_commit"], "key": ["late"]}, "n_name")
+    return found.select("field", "n_values", F.size("missing").alias("n_missing"))
+
+
+@query(SPLITS + "SELECT cutoff, split_id, CAST(cutoff AS INTEGER) AS vintage, CAST(origin AS INTEGER) AS strict_vintage FROM s")
+def split_vintages(spark, sf):
+    splits = _splits(spark, sf)
+    strict = planning.split_vintages(splits, "strict_inner_real_time").select("cutoff", "split_id", F.col("vintage").alias("strict_vintage"))
+    return planning.split_vintages(splits).select("cutoff", "split_id", "vintage").join(strict, ["cutoff", "split_id"])
+
+
+@query()
+def chosen_jobs(spark, sf):
+    return planning.chosen_jobs(job_matrix(spark, sf), [0, 2], family="ridge", scope=["pooled", "horizon"])
+
+
 # Kernels -------------------------------------------------------------------------------------------------------------
 
 
@@ -711,6 +800,40 @@ def bayesian_scope_forecasts(spark, sf):
     return experiment.scope_grid(*growth_study(spark, sf, **settings))[1]
 
 
+def search_study(spark, sf) -> tuple[DataFrame, experiment.Study]:
+    """What the searches below run on: all series, four outer origins, three horizons, two scopes."""
+    return growth_study(spark, sf, n_outer=4, horizons=(1, 2, 4), scopes=("pooled", "variable"))
+
+
+@query()
+def glp_candidate_losses(spark, sf):
+    """Losses of 24 candidates (shrinkages and residual scales) in the inner splits of each cell."""
+    return search.scope_search(*search_study(spark, sf), search.SearchSpace("full"))[0]
+
+
+@query()
+def glp_selections(spark, sf):
+    """The candidate of greatest evidence for each cell, with its coordinates."""
+    return search.scope_search(*search_study(spark, sf), search.SearchSpace("reduced"), by_evidence=True)[1].drop("point")
+
+
+@query()
+def glp_scope_forecasts(spark, sf):
+    """Forecasts with each cell's choice, of its own targets and, as diagnostics, of all others."""
+    return search.scope_search(*search_study(spark, sf), search.SearchSpace("custom", free=("lam",), fixed={"mu": 2.0}), diagnostics=True)[2]
+
+
+@query()
+def generated_draws(spark, sf):
+    """Summaries of simulated paths at two sets of hyperparameters, one of which can't be run."""
+    panel, study = growth_study(spark, sf)
+    last = panel.agg(F.max("row_idx")).first()[0]
+    rows = [(f"{name}-{o}", o, params) for o in (last - 8, last - 4) for name, params in (("near", {"lam": 0.2, "theta": 1.0, "mu": 1.0}), ("same", {"mu": 1.0, "theta": 1.0, "lam": 0.2}), ("outside", {"lam": 0.2, "psi": 99.0}))]
+    tasks = spark.createDataFrame(rows, "task string, origin int, params map<string,double>")
+    made = search.generated(panel, tasks, search.bvar_generator(), list(study.variables), list(study.horizons))
+    return vintage.summaries(made, ["task", "origin", "variable", "horizon", "error"])
+
+
 # Everything that a comparison reports, in one table: its parts by name.
 @query()
 def comparison_overview(spark, sf):

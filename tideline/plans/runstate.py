@@ -145,6 +145,36 @@ def validate_outputs(folder: str | Path, tables: dict[str, tuple[list[str], int]
     return found
 
 
+def inspect(folders: dict[str, str | Path], tables: dict[str, tuple[list[str], int]] | None = None, documents: dict[str, list[str]] | None = None) -> list[dict]:
+    """State, faults of outputs and last error of each job's folder (job -> folder)."""
+    out = []
+    for job, folder in folders.items():
+        held = state(folder)
+        faults = validate_outputs(folder, tables, documents) if held == "complete" else []
+        out.append({"job_id": job, "state": held, "ok": held == "complete" and not faults, "faults": faults, "error": (_read(Path(folder) / STATUS) or {}).get("error")})
+    return out
+
+
+def execute_jobs(jobs: list[dict], states: dict[str, str], run, policy: str = "resume", stop_at_failure: bool = False) -> list[dict]:
+    """Runs the planned jobs in order inside this application; ``run(job)`` raises where it fails.
+
+    A job whose dependency failed, or was not run, is skipped.
+    """
+    now, out = dict(states), []
+    for job in jobs:
+        plan = plan_jobs([job], now, policy)[0]
+        if plan["action"] in ("run", "resume"):
+            try:
+                run(plan)
+                now[job["job_id"]], plan = "complete", plan | {"result": "complete", "error": None}
+            except Exception as failure:  # noqa: BLE001  any failure is the job's result
+                now[job["job_id"]], plan = "failed", plan | {"result": "failed", "error": f"{type(failure).__name__}: {failure}"}
+        out.append({"result": None, "error": None} | plan)
+        if stop_at_failure and out[-1]["result"] == "failed":
+            break
+    return out
+
+
 def status_counts(plans: list[dict]) -> dict[str, int]:
     out: dict[str, int] = {}
     for p in plans:

@@ -142,3 +142,119 @@ def latex(df: DataFrame, most: int = 500) -> str:
         raise DataError(f"more than {most} rows")
     body = [" & ".join("" if v is None else f"{v:.4f}" if isinstance(v, float) else str(v).replace("_", r"\_") for v in r) + r" \\" for r in rows]
     return "\n".join([r"\begin{tabular}{" + "l" * len(df.columns) + "}", " & ".join(c.replace("_", r"\_") for c in df.columns) + r" \\ \hline", *body, r"\end{tabular}", ""])
+
+
+# Runs ----------------------------------------------------------------------------------------------------------------
+
+
+def latest_panel(spark: SparkSession, path: str, validate: bool = True) -> DataFrame:
+    """A panel of newest values (series_id, observation_date, value); a key may stand once."""
+    panel = nan_to_null(spark.read.schema(T.StructType([f for f in VINTAGE.fields if f.name != "vintage_date"])).csv(path, header=True, enforceSchema=False))
+    if validate:
+        checks.enforce(checks.duplicate_keys(panel, ["series_id", "observation_date"]), "latest panel")
+    return panel
+
+
+def _listing(spark: SparkSession, folder: str) -> dict[str, int]:
+    """Sizes of what lies in a folder, by name; folders count as -1. Works in any store that Spark reads."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(place):
+        raise DataError(f"{folder} doesn't exist")
+    return {s.getPath().getName(): -1 if s.isDirectory() else s.getLen() for s in fs.listStatus(place)}
+
+
+RUN_FILES = ("forecast_panel.csv", "run_metadata.json")
+
+
+def run_folders(spark: SparkSession, folder: str) -> list[str]:
+    """The folder itself if it holds a run, else its children that do; a run of which a part is missing or empty is an error."""
+
+    def state(held: dict[str, int]) -> str | None:
+        """None where there is no run, ``""`` where it is whole, else what it lacks."""
+        if not any(n in held for n in RUN_FILES):
+            return None
+        return ", ".join(f"{n} is {'missing' if n not in held else 'empty'}" for n in RUN_FILES if held.get(n, 0) in (0, 1))
+
+    held = _listing(spark, folder)
+    own = state(held)
+    if own is not None:
+        if own:
+            raise DataError(f"incomplete run {folder}: {own}")
+        return [folder]
+    found = {n: state(_listing(spark, f"{folder}/{n}")) for n in sorted(held) if held[n] == -1}
+    if broken := {n: s for n, s in found.items() if s}:
+        raise DataError(f"incomplete runs below {folder}: " + "; ".join(f"{n}: {s}" for n, s in broken.items()))
+    whole = [f"{folder}/{n}" for n, s in found.items() if s == ""]
+    if not whole:
+        raise DataError(f"no run in {folder}")
+    return whole
+
+
+def run_frame(spark: SparkSession, folder: str, strategy: str, name: str = "forecast_panel.csv") -> DataFrame | None:
+    """Rows of a run's file with its model and horizon; the metadata must name the same strategy, and a file with a head alone is an error. None where the file is missing or empty."""
+    import re
+
+    told = run_metadata(spark, f"{folder}/run_metadata.json").first().asDict(recursive=True)  # one document
+    if told.get("strategy") != strategy:
+        raise DataError(f"{folder} holds {told.get('strategy')!r}, not {strategy!r}")
+    by_name = re.search(r"/(h\d+q)/?$", folder)
+    horizon = told.get("optimization_horizon") or (by_name[1] if by_name else None)
+    if by_name and horizon != by_name[1]:
+        raise DataError(f"{folder}: the folder and its metadata name different horizons")
+    if _listing(spark, folder).get(name, 0) <= 1:
+        return None
+    rows = spark.read.csv(f"{folder}/{name}", header=True)
+    if rows.isEmpty():
+        raise DataError(f"{folder}/{name} has a head but no rows")
+    return rows.withColumn("model", F.lit(strategy)).withColumn("optimization_horizon", F.lit(horizon).cast("string"))
+
+
+def run_frames(spark: SparkSession, folders: dict[str, str], name: str = "forecast_panel.csv") -> DataFrame:
+    """One file of all runs of several strategies (strategy -> folder), columns united by name."""
+    made = [f for strategy, folder in folders.items() for run in run_folders(spark, folder) if (f := run_frame(spark, run, strategy, name)) is not None]
+    if not made:
+        raise DataError(f"no run has a {name}")
+    out = made[0]
+    for f in made[1:]:
+        out = out.unionByName(f, allowMissingColumns=True)
+    return out
+
+
+def hyperparameters(spark: SparkSession, path: str) -> DataFrame:
+    """Selected hyperparameters: numbers as numbers, ids and names as they are."""
+    raw = spark.read.csv(path, header=True)
+    require(raw, ["forecast_origin"], path)
+    words = {"forecast_origin", "group", "strategy", "cell_id", "event_id", "model_size", "last_quarter", "psi"}
+    return nan_to_null(raw.select(*[F.col(f"`{c}`") if c in words else F.col(f"`{c}`").try_cast("double").alias(c) for c in raw.columns]))
+
+
+def write_study(folder: str, tables: dict[str, DataFrame], orders: dict[str, list[str]], metadata: dict | None = None, layout: str = "csv") -> None:
+    """A study's tables (selections, forecasts, failures, benchmarks ...) below one folder, each in a fixed order, and its metadata last.
+
+    Whoever finds the metadata finds whole tables. Sorting happens here alone:
+    a sort by range, so that the files one after another are in order.
+    """
+    for name, df in tables.items():
+        if missing := [c for c in orders.get(name, []) if c not in df.columns]:
+            raise DataError(f"{name} lacks {', '.join(missing)}")
+        write_table(df.orderBy(*[F.col(c).asc_nulls_first() for c in orders[name]]) if orders.get(name) else df, f"{folder}/{name}", layout)
+    if metadata is not None:
+        import json
+
+        spark = next(iter(tables.values())).sparkSession
+        line = json.dumps(metadata, sort_keys=True, default=str)
+        spark.createDataFrame([(line,)], "value string").coalesce(1).write.mode("overwrite").text(f"{folder}/run_metadata")
+
+
+def synthetic_panel(spark: SparkSession, steps: int = 120, seed: int = 42) -> DataFrame:
+    """A stable three-variable autoregression in long form (row_idx, variable, value), for smoke runs."""
+    import numpy as np
+
+    # The coefficients, constants, spread and start of the smoke panel.
+    a, c, spread = np.array([[0.6, 0.1, 0.0], [-0.1, 0.5, 0.1], [0.0, 0.1, 0.4]]), np.array([0.2, -0.1, 0.1]), 0.15
+    rng, y, rows = np.random.Generator(np.random.PCG64(seed)), np.zeros(3), []
+    for t in range(steps):
+        y = c + a @ y + spread * rng.standard_normal(3)
+        rows += [(t, v, float(x)) for v, x in zip(("gdp", "inv", "cons"), y)]
+    return spark.createDataFrame(rows, "row_idx int, variable string, value double")
