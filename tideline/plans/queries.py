@@ -661,8 +661,8 @@ def lag_design(spark, sf):
 GROWING = ["1-URGENT", "2-HIGH"]
 PATHS = "WITH " + D.PANEL_SQL + """, d AS (SELECT unnest(range(5)) AS draw), parts AS (
   SELECT draw, variable, m AS period, value, 'history' AS segment, 0 AS place FROM panel_m, d WHERE m <= 23990
-  UNION ALL SELECT draw, variable, m, value * (1 + draw / 256.0), 'nowcast', 1 FROM panel_m, d WHERE m IN (23990, 23991)
-  UNION ALL SELECT draw, variable, m, value * (1 + (draw - 2) / 128.0), 'forecast', 2 FROM panel_m, d WHERE m >= 23991),
+  UNION ALL SELECT draw, variable, m, value * (1 + CAST(draw AS DOUBLE) / 300), 'nowcast', 1 FROM panel_m, d WHERE m IN (23990, 23991)
+  UNION ALL SELECT draw, variable, m, value * (1 + CAST(draw - 2 AS DOUBLE) / 90), 'forecast', 2 FROM panel_m, d WHERE m >= 23991),
 paths AS (SELECT CAST(draw AS INTEGER) AS draw, variable, period, value, segment FROM parts QUALIFY place = min(place) OVER (PARTITION BY draw, variable, period))"""
 
 
@@ -670,8 +670,8 @@ def _paths(spark, sf):
     known = D.panel_monthly(spark, sf).select("variable", F.col("m").alias("period"), "value")
     numbers = literal_table(spark, [(d,) for d in range(5)], "draw int")
     each = known.join(F.broadcast(numbers))  # five numbers
-    nowcast = each.filter("period in (23990, 23991)").withColumn("value", F.col("value") * (1 + F.col("draw") / 256.0))
-    ahead = each.filter("period >= 23991").withColumn("value", F.col("value") * (1 + (F.col("draw") - 2) / 128.0))
+    nowcast = each.filter("period in (23990, 23991)").withColumn("value", F.col("value") * (1 + F.col("draw") / 300.0))
+    ahead = each.filter("period >= 23991").withColumn("value", F.col("value") * (1 + (F.col("draw") - 2) / 90.0))
     return draws.stacked([("history", known.filter("period <= 23990")), ("nowcast", nowcast), ("forecast", ahead)], numbers)
 
 
