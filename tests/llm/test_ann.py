@@ -59,6 +59,14 @@ def test_awkward_rows(spark):
     assert ann.nearest(df.filter("false"), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def test_clashing_and_repeated_columns_and_long_vectors(spark):
+    rng = np.random.default_rng(6)
+    rows = [(i, rng.standard_normal(700).tolist(), 1, b"x", 2, 0.5, "y") for i in range(60)]
+    df = spark.createDataFrame(rows, "vec_id int, embedding array<double>, v int, code binary, row int, floor double, cb string")
+    got, want = as_dict(ann.nearest(df, F.col("vec_id") % 20 == 0, 5)), brute([(r[0], r[1]) for r in rows], 5, lambda i: i % 20 == 0)
+    assert {i: [a for a, _ in x] for i, x in got.items()} == {i: [a for a, _ in x] for i, x in want.items()}
+
+
 def test_query_recall_on_a_table(spark):
     sf = "/root/testdata/sf0.01"
     rows = [(r.vec_id, list(r.embedding)) for r in spark.read.parquet(f"{sf}/embeddings.parquet").collect()]

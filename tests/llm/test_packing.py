@@ -71,3 +71,32 @@ def test_query_packs_the_whole_table(spark):
     sf = "/root/testdata/sf0.001"
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     assert check(QUERIES["op6_packing"](spark, sf).collect(), texts, 2048) < 0.02
+
+
+def test_ids_of_a_whole_table_equal_the_tokenizer_file():
+    """Every text of a table, by the encoder with its fast library and by the file alone."""
+    import pyarrow.parquet as pq
+
+    tok, e = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), P.encoder()
+    texts = pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"])["text"].to_pylist()
+    fast = 0
+    for t in texts:
+        assert e.ids(t).tolist() == tok.encode(t or "", add_special_tokens=False).ids
+        fast += not e.odd.search(t or "")
+    assert 0 < fast < len(texts) or fast == len(texts)
+
+
+def test_full_pieces_and_many_rank_groups(spark):
+    rows = [(i % 7, "word " * (3 * i)) for i in range(120)] + [(None, "word " * 500)] * 3
+    docs = spark.createDataFrame([(*r, 1, 2) for r in rows], "doc_id long, text string, sequence_id int, rank int").repartition(3)
+    got = P.pack(docs, 64, group=5).collect()
+    by = defaultdict(list)
+    for r in got:
+        by[r.sequence_id].append(r)
+    assert sum(r.length for r in got) == sum(len(P.encoder().ids(t)) + 1 for _, t in rows)
+    for found in by.values():
+        found.sort(key=lambda r: r.offset)
+        assert [r.offset for r in found] == [0, *np.cumsum([r.length for r in found])[:-1]] and sum(r.length for r in found) <= 64
+        assert len(found) == 1 or all(r.length < 64 for r in found)
+    assert sum(len(f) == 1 and f[0].length == 64 for f in by.values()) > 50
+    assert 1 - sum(r.length for r in got) / (64 * len(by)) < 0.03

@@ -32,3 +32,26 @@ def test_stages_work_on_all_that_is_kept(spark):
     check(packed, texts, packing.SIZE)
     assert len(defaultdict(int, {r.doc_id: 1 for r in packed})) == len(texts)
     assert simhash.RADIUS == 4
+
+
+def test_awkward_rows_pass_all_stages(spark, tmp_path):
+    """Nulls, empty and long texts, repeated rows and ids, columns with clashing names, an empty table."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    spark.read.parquet(f"{SF}/labels.parquet").write.parquet(f"{tmp_path}/labels.parquet")
+    good = docs.orderBy("doc_id").filter("length(text) > 400").limit(30).collect()
+    rows = [(r.doc_id, r.text, r.lang, r.source, r.n_chars, "k", 1, {"a": i}, 0.5) for i, r in enumerate(good)]
+    rows += [rows[0], rows[0], (rows[1][0], rows[2][1] + " and some more words", *rows[1][2:]), (None, rows[3][1], None, None, None, None, None, None, None), (9001, None, None, None, None, None, None, None, None), (9002, "", "en", "s", 0, "k", 1, None, 0.1), (9003, rows[4][1] * 300, "en", "s", 5, "k", 1, None, 0.1)]
+    awkward = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, _keep string, _n int, row map<string,int>, score double")
+    docs.limit(0).unionByName(docs).write.parquet(f"{tmp_path}/documents.parquet")
+    for table, least in ((awkward, 5), (awkward.filter("false"), 0)):
+        at = table
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            after = stage(spark, at, str(tmp_path))
+            assert after.columns == table.columns and [t for _, t in after.dtypes] == [t for _, t in table.dtypes], name
+            after.write.mode("overwrite").parquet(f"{tmp_path}/{name}")
+            at = spark.read.parquet(f"{tmp_path}/{name}")
+        kept = at.collect()
+        ids = [r.doc_id for r in kept if r.doc_id is not None]
+        assert len(kept) >= least and {i for i in ids if ids.count(i) > 1} <= {rows[1][0]}  # two texts under one id both stay
+        packed = corpus_pipeline.STAGES[-1][1](spark, at, str(tmp_path)).collect()
+        assert sum(r.start == 0 for r in packed) == len(kept)

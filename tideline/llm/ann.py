@@ -18,7 +18,8 @@ precision.
 
 Blocks of queries meet blocks of candidates in a grid, so a task holds two
 bounded blocks, whatever the table's size, and returns ``k`` rows a query; the
-tasks of one query are merged by a window over these. Nothing is broadcast but
+tasks of one query are merged by a window over these. A vector is sent once to
+each block of the other kind. Nothing is broadcast but
 the rotation and the sample, whose sizes the parameters bound.
 
 Vectors that are null, empty, zero or hold null or non-finite components take
@@ -43,8 +44,8 @@ from .common import arrow_map, durable, hash_sample
 
 SAMPLE = 4096  # vectors that the centre and the floors are taken from, at most
 PLANES = 4  # bits a dimension of a rotated query
-BLOCK = 8192  # candidates in a block, about
-QUERY_BLOCK = 2048  # queries in a block, about
+BLOCK = 32768  # candidates in a block, about
+QUERY_BLOCK = 16384  # queries in a block, about
 
 
 def usable(vectors: DataFrame, extra: list[str] = []) -> DataFrame:  # noqa: B006
@@ -136,9 +137,9 @@ def exact(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.add.accumulate(a * b, axis=1)[:, -1]
 
 
-def search_block(codes: Codes, q_rows, q, floor, c_rows, c_ids, c, words, length, own, k: int, bound: float, tile: int = 128):
+def search_block(codes: Codes, q_rows, q, floor, c_rows, c_ids, c, words, length, own, k: int, bound: float, cells: int = 1 << 20):
     """The ``k`` best of one block of candidates for each query, (query, candidate, score) by place, and the number of reranked pairs."""
-    out, reranked = [], 0
+    out, reranked, tile = [], 0, max(1, cells // max(1, len(c_rows)))  # queries at a time: ``cells`` estimates
     for first in range(0, len(q_rows), tile):
         part = slice(first, first + tile)
         mine = q[part]
@@ -195,7 +196,9 @@ def nearest(vectors: DataFrame, queries_where, k: int = 20, bits: int = 256, bou
     drawn = hash_sample(every, ["row"], SAMPLE, total).select("row", "v").collect()
     sample_rows, sample = np.array([r.row for r in drawn]), matrix([bytes(r.v) for r in drawn])
     codes = Codes(size // 8, bits, sample.mean(axis=0))
-    candidate_blocks, query_blocks = max(1, round(total / block)), max(1, round(asked / query_block))
+    query_blocks = max(1, round(asked / query_block))
+    busy = min(2 * spark.sparkContext.defaultParallelism // query_blocks, total // 2048)  # a small table is cut finer, for all cores
+    candidate_blocks = max(1, round(total / block), busy)
 
     def encode(batch):
         packed, length, own = codes.encode(matrix(batch.column("v")))
