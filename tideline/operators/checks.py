@@ -36,6 +36,12 @@ def vintage_violations(panel: DataFrame) -> DataFrame:
     )
 
 
+def provenance_violations(panel: DataFrame) -> DataFrame:
+    """Vintages with rows from a fallback, or whose rows don't name one hash: (series_id, vintage_date, n_rows, n_fallback, n_hashes)."""
+    found = panel.groupBy("series_id", "vintage_date").agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(F.lower(F.col("fallback_used").cast("string")).isin("true", "1")).alias("n_fallback"), F.countDistinct("data_sha256").alias("n_hashes"))
+    return found.filter("n_fallback > 0 or n_hashes <> 1")
+
+
 def content_hash(df: DataFrame, columns: list[str], by: list[str]) -> DataFrame:
     """An order-free fingerprint of each group's rows: their number and the sum of 60-bit prefixes of the rows' SHA-256."""
     row = F.sha2(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("~")) for c in columns]), 256)

@@ -74,6 +74,56 @@ def backcast(vintage: DataFrame, reference: DataFrame) -> DataFrame:
     return vintage.select("series_id", "period", "value").withColumn("is_synthesized", F.lit(False)).withColumn("anchor_period", F.lit(None).cast("int")).unionByName(made)
 
 
+def repaired(panel: DataFrame, start: int) -> DataFrame:
+    """Vintages that begin after ``start`` filled back to it: (series_id, vintage_date, period, value, is_synthesized, reference_vintage).
+
+    Each step back takes the growth of the newest earlier vintage that itself
+    observes both of its ends, so repaired vintages are references for later
+    ones without a loop over vintages; a step whose growth is unknown holds the
+    value. A period that no earlier vintage reaches is an error.
+    """
+    own = panel.filter("value is not null").filter(F.col("period") >= start)
+    ahead = Window.partitionBy("series_id", "vintage_date").orderBy("period")
+    after = F.lead("value").over(ahead)
+    steps = own.withColumn("_next", F.when(F.lead("period").over(ahead) == F.col("period") + 1, after)).withColumn("_r", F.when(F.col("_next").isNotNull(), F.when((F.col("value") > 0) & (F.col("_next") > 0), F.ln("value") - F.ln("_next")).otherwise(0.0)))
+    firsts = own.groupBy("series_id", "vintage_date").agg(F.min("period").alias("first"), F.min_by("value", "period").alias("anchor"))
+    asked = firsts.filter(F.col("first") > start).select("series_id", "vintage_date", F.explode(F.sequence(F.lit(start), F.col("first") - 1)).alias("period"), "anchor")
+    known = steps.filter("_r is not null").select("series_id", "vintage_date", "period", F.lit(None).cast("double").alias("anchor"), F.struct("_r", F.col("vintage_date").alias("v")).alias("step"))
+    both = known.unionByName(asked, allowMissingColumns=True)
+    newest = F.last("step", ignorenulls=True).over(Window.partitionBy("series_id", "period").orderBy("vintage_date").rowsBetween(Window.unboundedPreceding, 0))
+    found = both.withColumn("step", newest).filter("anchor is not null")
+    rate = F.coalesce("step._r", F.raise_error(F.concat(F.lit("no earlier vintage reaches period "), F.col("period").cast("string"))).cast("double"))
+    total = F.sum(rate).over(Window.partitionBy("series_id", "vintage_date").orderBy(F.desc("period")).rowsBetween(Window.unboundedPreceding, 0))
+    made = found.select("series_id", "vintage_date", "period", (F.col("anchor") * F.exp(total)).alias("value"), F.lit(True).alias("is_synthesized"), F.col("step.v").alias("reference_vintage"))
+    return own.select("series_id", "vintage_date", "period", "value", F.lit(False).alias("is_synthesized"), F.lit(None).cast(dict(own.dtypes)["vintage_date"]).alias("reference_vintage")).unionByName(made)
+
+
+def aligned_blocks(quarterly: DataFrame, monthly: DataFrame, n_quarterly: int, n_monthly: int) -> DataFrame:
+    """Both blocks from one first quarter on: (block, series_id, period, value).
+
+    It is the later of the first whole quarter of complete months and the first
+    complete quarter. Months run on, null where unobserved, to the last release
+    or the end of the last quarter, whichever is later.
+    """
+    q, m = ragged_window(quarterly, n_quarterly), ragged_window(monthly, n_monthly)
+    edges = m.agg(F.ceil(F.min("period") / F.lit(3.0)).cast("int").alias("_mq"), F.max("last_period").alias("_released")).crossJoin(F.broadcast(q.agg(F.min("period").alias("_qq"), F.max("period").alias("_ql"))))  # one row each
+    edges = edges.select(F.greatest("_mq", "_qq").alias("first"), "_ql", F.greatest(F.col("_released"), F.col("_ql") * 3 + 2).alias("end"))
+    enough = F.when((F.col("_ql") >= F.col("first")) & (F.col("end") >= F.col("first") * 3 + 2), F.col("first")).otherwise(F.raise_error(F.lit("too little history after alignment")).cast("int"))
+    edges = F.broadcast(edges.withColumn("first", enough))  # one row
+    kept = q.join(edges, F.col("period") >= F.col("first")).select(F.lit("quarterly").alias("block"), "series_id", "period", "value")
+    grid = m.select("series_id").distinct().join(edges).select("series_id", F.explode(F.sequence(F.col("first") * 3, F.col("end"))).alias("period"))
+    return kept.unionByName(grid.join(m.select("series_id", "period", "value"), ["series_id", "period"], "left").select(F.lit("monthly").alias("block"), "series_id", "period", "value"))
+
+
+def transformed(levels: DataFrame, spec: DataFrame) -> DataFrame:
+    """``value`` of every series by its own transform; ``spec``: (series_id, transform). A series without one is an error."""
+    from ..functions.scalars import transform
+
+    joined = levels.join(spec.select("series_id", "transform"), "series_id", "left")
+    kind = F.coalesce("transform", F.raise_error(F.concat(F.lit("no transform for "), F.col("series_id"))).cast("string"))
+    return joined.withColumn("value", transform(F.col("value"), kind)).drop("transform")
+
+
 def inner_vintages(origins: DataFrame, vintages: DataFrame, lag_quarters: int) -> DataFrame:
     """Each inner quarter (column ``quarter``) with the vintage at the end of quarter + lag; without one an error row."""
     need = origins.withColumn("vintage_quarter", F.col("quarter") + lag_quarters)
@@ -106,9 +156,16 @@ def assert_point_in_time(panel: DataFrame) -> None:
     enforce(vintage_violations(panel).filter("n_missing > 0 or n_future > 0 or n_repeated > 0"), "vintage panel")
 
 
-def summaries(draws: DataFrame, by: list[str], value: str = "value") -> DataFrame:
-    """Mean and quantiles over draws; growth is taken inside each draw before."""
-    q = F.percentile(value, F.array(*[F.lit(x) for x in (0.05, 0.16, 0.5, 0.84, 0.95)]))
+def summaries(draws: DataFrame, by: list[str], value: str = "value", accuracy: int | None = None) -> DataFrame:
+    """Mean and quantiles over draws; growth is taken inside each draw before.
+
+    Quantiles are exact and interpolated, for which a group's distinct values
+    meet in one task: right for draws, whose number a parameter sets. With
+    ``accuracy`` they are sketched instead, in bounded memory whatever the
+    group's rows, and their ranks are off by one in ``accuracy`` at most.
+    """
+    places = F.array(*[F.lit(x) for x in (0.05, 0.16, 0.5, 0.84, 0.95)])
+    q = F.percentile(value, places) if accuracy is None else F.percentile_approx(value, places, accuracy)
     return draws.groupBy(*by).agg(F.avg(value).alias("mean"), q.alias("_q"), F.count(value).alias("n_draws")).select(*by, "mean", *[F.get("_q", F.lit(k)).alias(n) for k, n in enumerate(("p05", "p16", "median", "p84", "p95"))], "n_draws")
 
 

@@ -277,6 +277,13 @@ def first_best(spark, sf):
     return selection.first_best(mean_losses(spark, sf).filter("lam = 0"), ["variable"], "p")
 
 
+@query(MEANS + "SELECT variable, coalesce(arg_min(p, [loss, p]) FILTER (variable <> '5-LOW'), 1) AS p FROM loss WHERE lam = 0.5 GROUP BY 1")
+def chosen_lags(spark, sf):
+    """The length of least loss; where no loss is known, 1."""
+    known = F.when(F.col("variable") != "5-LOW", F.col("loss"))
+    return selection.choose_lag(mean_losses(spark, sf).filter("lam = 0.5").withColumn("loss", known), ["variable"], "loss")
+
+
 @query("WITH " + D.PANEL_SQL + """, s AS (SELECT variable, m, m % 4 AS choice, m % 3 / 2.0 AS level FROM growth)
 SELECT 'system' AS model, 'choice' AS parameter, avg(choice) AS mean, round(stddev_samp(choice), 6) AS std, CAST(min(choice) AS DOUBLE) AS min, CAST(max(choice) AS DOUBLE) AS max, count(*) AS n FROM s WHERE variable = (SELECT min(variable) FROM s)
 UNION ALL SELECT 'system', 'level', avg(level), round(stddev_samp(level), 6), min(level), max(level), count(*) FROM s WHERE variable = (SELECT min(variable) FROM s)""".replace("avg(choice)", "round(avg(choice), 6)").replace("avg(level)", "round(avg(level), 6)").replace("m % 3 / 2.0", "CAST(m % 3 AS DOUBLE) / 2"))
@@ -547,6 +554,48 @@ def backcast(spark, sf):
     return rounded(vintage.backcast(_ragged(spark, sf).filter("period >= 23980"), reference), 3)
 
 
+@query(V + """, p AS (SELECT * FROM vintages WHERE obs >= 23940 AND NOT (vintage % 3 = 0 AND vintage > 23970 AND obs < 23955) AND NOT (vintage % 4 = 1 AND vintage > 23970 AND obs < 23949)),
+f AS (SELECT vintage, min(obs) AS first, arg_min(value, obs) AS anchor FROM p GROUP BY 1),
+s AS (SELECT vintage, obs, ln(value) - ln(lead(value) OVER (PARTITION BY vintage ORDER BY obs)) AS r FROM p),
+a AS (SELECT vintage, anchor, CAST(unnest(range(23940, first)) AS INTEGER) AS obs FROM f WHERE first > 23940),
+b AS (SELECT a.vintage, a.obs, any_value(a.anchor) AS anchor, max(s.vintage) AS reference FROM a JOIN s ON s.obs = a.obs AND s.vintage < a.vintage AND s.r IS NOT NULL GROUP BY 1, 2),
+m AS (SELECT b.vintage, b.obs, b.reference, b.anchor * exp(sum(s.r) OVER (PARTITION BY b.vintage ORDER BY b.obs DESC)) AS value FROM b JOIN s ON s.vintage = b.reference AND s.obs = b.obs)
+SELECT 'sales' AS series_id, vintage, obs, round(value, 3) AS value, FALSE AS is_synthesized, CAST(NULL AS INTEGER) AS reference FROM p UNION ALL SELECT 'sales', vintage, obs, round(value, 3), TRUE, reference FROM m""")
+def repaired_vintages(spark, sf):
+    """Short vintages filled back through a chain of earlier ones."""
+    panel = D.vintages(spark, sf).filter("obs >= 23940 and not (vintage % 3 = 0 and vintage > 23970 and obs < 23955) and not (vintage % 4 = 1 and vintage > 23970 and obs < 23949)")
+    out = vintage.repaired(panel.select("series_id", F.col("vintage").alias("vintage_date"), F.col("obs").alias("period"), "value"), 23940)
+    return rounded(out.select("series_id", F.col("vintage_date").alias("vintage"), F.col("period").alias("obs"), "value", "is_synthesized", F.col("reference_vintage").alias("reference")), 3)
+
+
+@query("WITH " + D.PANEL_SQL + """, mo AS (SELECT variable AS series_id, m AS period, value FROM panel_m WHERE variable > '2-HIGH' AND NOT (variable = '3-MEDIUM' AND m < 23947) AND NOT (variable = '5-LOW' AND m > 24010)),
+qu AS (SELECT variable AS series_id, CAST(floor(m / 3) AS INTEGER) AS period, round(sum(value), 2) AS value FROM panel_m WHERE variable <= '2-HIGH' AND NOT (variable = '2-HIGH' AND m < 23944) GROUP BY 1, 2),
+fm AS (SELECT min(period) AS first FROM (SELECT period FROM mo GROUP BY 1 HAVING count(*) = 3)), fq AS (SELECT min(period) AS first FROM (SELECT period FROM qu GROUP BY 1 HAVING count(*) = 2)),
+e AS (SELECT greatest(CAST(ceil((SELECT first FROM fm) / 3.0) AS INTEGER), (SELECT first FROM fq)) AS first, (SELECT greatest((SELECT max(period) FROM mo), (SELECT max(period) * 3 + 2 FROM qu))) AS last),
+g AS (SELECT series_id, CAST(unnest(range((SELECT first * 3 FROM e), (SELECT last + 1 FROM e))) AS INTEGER) AS period FROM (SELECT DISTINCT series_id FROM mo))
+SELECT 'quarterly' AS block, series_id, period, value FROM qu WHERE period >= (SELECT first FROM e) UNION ALL SELECT 'monthly', g.series_id, g.period, mo.value FROM g LEFT JOIN mo ON mo.series_id = g.series_id AND mo.period = g.period""")
+def aligned_blocks(spark, sf):
+    """A quarterly and a monthly block from their common first quarter on."""
+    monthly = D.panel_monthly(spark, sf).select(F.col("variable").alias("series_id"), F.col("m").alias("period"), "value")
+    low = monthly.filter("series_id <= '2-HIGH' and not (series_id = '2-HIGH' and period < 23944)").withColumnRenamed("period", "month")
+    quarterly = rounded(vintage.to_quarters(low, "sum").select("series_id", F.col("quarter").alias("period"), "value"), 2)
+    high = monthly.filter("series_id > '2-HIGH' and not (series_id = '3-MEDIUM' and period < 23947) and not (series_id = '5-LOW' and period > 24010)")
+    return vintage.aligned_blocks(quarterly, high, 2, 3)
+
+
+@query("WITH " + D.PANEL_SQL + "SELECT variable AS series_id, m AS period, round(CASE WHEN variable <= '2-HIGH' THEN 100 * ln(value) ELSE value END, 6) AS value FROM panel_m")
+def transformed_levels(spark, sf):
+    levels = D.panel_monthly(spark, sf).select(F.col("variable").alias("series_id"), F.col("m").alias("period"), "value")
+    spec = levels.select("series_id").distinct().withColumn("transform", F.when(F.col("series_id") <= "2-HIGH", "log").otherwise("lin"))
+    return rounded(vintage.transformed(levels, spec))
+
+
+@query("""WITH f AS (SELECT l_returnflag AS series_id, CAST(l_shipdate AS DATE) AS vintage_date, count(*) AS n_rows, count(*) FILTER (l_discount > 0.09) AS n_fallback, count(DISTINCT l_linestatus) AS n_hashes FROM lineitem GROUP BY 1, 2) SELECT * FROM f WHERE n_fallback > 0 OR n_hashes <> 1""")
+def provenance_violations(spark, sf):
+    lines = D.table(spark, sf, "lineitem").select(F.col("l_returnflag").alias("series_id"), F.col("l_shipdate").cast("date").alias("vintage_date"), F.when(F.col("l_discount") > 0.09, "True").otherwise("0").alias("fallback_used"), F.col("l_linestatus").alias("data_sha256"))
+    return checks.provenance_violations(lines)
+
+
 @query("""WITH o AS (SELECT DISTINCT CAST(year(o_orderdate) * 4 + quarter(o_orderdate) - 1 AS INTEGER) AS quarter FROM orders) SELECT a.quarter, a.quarter + 2 AS vintage_quarter, b.quarter IS NOT NULL AS found FROM o a LEFT JOIN o b ON b.quarter = a.quarter + 2""")
 def inner_vintages(spark, sf):
     q = D.table(spark, sf, "orders").select(periods.quarter_ordinal(F.col("o_orderdate")).alias("quarter")).distinct()
