@@ -2,9 +2,29 @@
 
 from __future__ import annotations
 
+from collections import deque
+
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+#: Tables kept for their readers, newest last: (application, table).
+_HELD: deque[tuple[str, DataFrame]] = deque()
+
+
+def hold(df: DataFrame, most: int = 4) -> DataFrame:
+    """``df`` kept for plans that read it several times; the oldest beyond ``most`` such tables is released.
+
+    A plan that still reads a released table computes it again.
+    """
+    app = df.sparkSession.sparkContext.applicationId
+    _HELD.append((app, df.persist()))
+    while len(_HELD) > most:
+        owner, old = _HELD.popleft()
+        if owner == app:
+            old.unpersist()
+    return df
+
+
 _KINDS = {"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "double": pa.float64(), "boolean": pa.bool_()}
 
 

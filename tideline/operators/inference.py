@@ -18,6 +18,19 @@ def loss_differentials(pairs: DataFrame, kind: str = "squared") -> DataFrame:
     return pairs.withColumn("d", f(F.col("error_a")) - f(F.col("error_b")))
 
 
+def _with_terms(series: DataFrame, by: list[str], order: list[str], most: int, fixed: bool, kernel: str, value: str) -> DataFrame:
+    """Rows with their number ``_n``, lags ``_lag`` and the part ``_term`` that each adds to its group's long-run variance."""
+    group = Window.partitionBy(*by)
+    placed = group.orderBy(*order)
+    rows = series.withColumn("_c", F.col(value) - F.avg(value).over(group)).withColumn("_n", F.count(F.lit(1)).over(group))
+    rows = rows.withColumn("_lag", F.least(F.lit(most) if fixed else F.col("max_lag"), F.col("_n") - 1))
+    term = F.col("_c") * F.col("_c")
+    for k in range(1, most + 1):
+        weight = 2.0 * ((1 - F.lit(float(k)) / (F.col("_lag") + 1)) if kernel == "bartlett" else F.lit(1.0))
+        term = term + F.when(F.col("_lag") >= k, F.coalesce(F.col("_c") * F.lag("_c", k).over(placed), F.lit(0.0)) * weight).otherwise(0.0)
+    return rows.withColumn("_term", term / F.col("_n"))
+
+
 def long_run_variance(series: DataFrame, by: list[str], order: list[str], lags: int | None, kernel: str = "bartlett", value: str = "d", longest: int | None = None) -> DataFrame:
     """gamma_0 + 2 sum w_k gamma_k, every gamma divided by n; at most n - 1 lags.
 
@@ -27,27 +40,28 @@ def long_run_variance(series: DataFrame, by: list[str], order: list[str], lags:
     """
     if lags is None and longest is None:
         longest = series.agg(F.max("max_lag")).first()[0] or 0
-    most = lags if lags is not None else int(longest)
-    group = Window.partitionBy(*by)
-    placed = group.orderBy(*order)
-    rows = series.withColumn("_c", F.col(value) - F.avg(value).over(group)).withColumn("_n", F.count(F.lit(1)).over(group))
-    rows = rows.withColumn("_lag", F.least(F.lit(most) if lags is not None else F.col("max_lag"), F.col("_n") - 1))
-    rows = rows.withColumns({f"_p{k}": F.col("_c") * (F.lag("_c", k).over(placed) if k else F.col("_c")) for k in range(most + 1)})
-    weight = lambda k: 2.0 * ((1 - F.lit(float(k)) / (F.col("_lag") + 1)) if kernel == "bartlett" else F.lit(1.0))
-    terms = [F.col("_p0")] + [F.when(F.col("_lag") >= k, F.coalesce(f"_p{k}", F.lit(0.0)) * weight(k)).otherwise(0.0) for k in range(1, most + 1)]
-    return rows.groupBy(*by).agg(F.sum(sum(terms[1:], terms[0]) / F.col("_n")).alias("long_run_variance"), F.first("_n").alias("n"), F.first("_lag").alias("lag"))
+    rows = _with_terms(series, by, order, int(longest if lags is None else lags), lags is not None, kernel, value)
+    return rows.groupBy(*by).agg(F.sum("_term").alias("long_run_variance"), F.first("_n").alias("n"), F.first("_lag").alias("lag"))
 
 
 def dm_statistics(pairs: DataFrame, kind: str = "squared", longest: int | None = None) -> DataFrame:
     """Statistic, small-sample factor and validity for each contrast and cell; pairs with a null error make it invalid.
 
-    ``longest``: the longest horizon, where it is known.
+    ``longest``: the longest horizon, where it is known. Variances, means and
+    counts come from one deal of the rows and one aggregate; null differentials
+    have windows of their own, so the variance is that of the known ones.
     """
     by = ["contrast", "variable", "horizon"]
-    rows = loss_differentials(pairs, kind).repartition(*by)  # one deal of the rows serves the variances and the means
-    whole = rows.filter("d is not null").withColumn("max_lag", F.col("horizon") - 1)
-    lrv = long_run_variance(whole, by, ["origin_ord", "target", "group"], None, longest=None if longest is None else longest - 1)
-    means = rows.groupBy(*by).agg(F.avg("d").alias("mean_differential"), F.count(F.lit(1)).alias("n_pairs"), F.count_if(F.col("d").isNull()).alias("n_null"))
+    rows = loss_differentials(pairs, kind)
+    if longest is None:
+        longest = rows.agg(F.max("horizon")).first()[0] or 1
+    rows = rows.repartition(*by).withColumn("_gap", F.col("d").isNull()).withColumn("max_lag", F.col("horizon") - 1)
+    rows = _with_terms(rows, [*by, "_gap"], ["origin_ord", "target", "group"], int(longest) - 1, False, "bartlett", "d")
+    known = lambda c: F.when(~F.col("_gap"), F.col(c))
+    joined = rows.groupBy(*by).agg(
+        F.avg("d").alias("mean_differential"), F.count(F.lit(1)).alias("n_pairs"), F.count_if("_gap").alias("n_null"),
+        F.sum(known("_term")).alias("long_run_variance"), F.max(known("_n")).alias("n"), F.max(known("_lag")).alias("lag"),
+    )
     n, h = F.col("n").cast("double"), F.col("horizon").cast("double")
     factor = (n + 1 - 2 * h + h * (h - 1) / n) / n
     reason = (
@@ -56,7 +70,7 @@ def dm_statistics(pairs: DataFrame, kind: str = "squared", longest: int | None =
         .when(F.col("long_run_variance") <= 1e-12, "zero variance")
         .when(F.col("factor") <= 0, "no small-sample factor")
     )
-    joined = means.join(lrv, by, "left").withColumn("factor", F.when(F.col("n") > 0, factor)).withColumn("reason", reason).withColumn("valid", F.col("reason").isNull())
+    joined = joined.withColumn("factor", F.when(F.col("n") > 0, factor)).withColumn("reason", reason).withColumn("valid", F.col("reason").isNull())
     statistic = F.when(F.col("valid"), F.col("mean_differential") / F.sqrt(F.when(F.col("valid"), F.col("long_run_variance") / n)) * F.sqrt(F.when(F.col("valid"), F.col("factor"))))
     return joined.withColumn("statistic", statistic).select(*by, "n_pairs", "mean_differential", "long_run_variance", "lag", "statistic", "valid", "reason")
 
@@ -78,12 +92,12 @@ def dm_tests(pairs: DataFrame, kind: str = "squared", longest: int | None = None
 def holm(tests: DataFrame, by: list[str], p: str = "p_value") -> DataFrame:
     """Step-down: running maximum of min(1, (m - rank + 1) p) over the known p values of a family."""
     family = Window.partitionBy(*by)
-    known = tests.filter(F.col(p).isNotNull() & ~F.isnan(p))
-    m = F.count(F.lit(1)).over(family)
-    order = family.orderBy(p, *[c for c in ("variable", "horizon") if c in tests.columns])
-    step = F.least(F.lit(1.0), (m - F.row_number().over(order) + 1) * F.col(p))
-    adjusted = known.withColumn("_s", step).withColumn("p_holm", F.max("_s").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("_s")
-    return adjusted.unionByName(tests.filter(F.col(p).isNull() | F.isnan(p)).withColumn("p_holm", F.lit(None).cast("double")))
+    known = F.col(p).isNotNull() & ~F.isnan(p)
+    order = family.orderBy(F.col("_known").desc(), p, *[c for c in ("variable", "horizon") if c in tests.columns])
+    step = F.least(F.lit(1.0), (F.count_if("_known").over(family) - F.row_number().over(order) + 1) * F.col(p))
+    marked = tests.withColumn("_known", known).withColumn("_s", F.when(F.col("_known"), step))
+    highest = F.max("_s").over(order.rowsBetween(Window.unboundedPreceding, 0))
+    return marked.withColumn("p_holm", F.when(F.col("_known"), highest)).drop("_known", "_s")
 
 
 def bootstrap_means(d: np.ndarray, method: str, block: int, draws: int, rng: np.random.Generator) -> np.ndarray:

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import child_seed
-from ..functions.tables import literal_table
+from ..functions.tables import hold, literal_table
 from ..kernels import bvar, ridge
 from ..operators import losses, selection
 from ..schemas import CELL
@@ -75,7 +75,7 @@ def history(origins: DataFrame, panel: DataFrame) -> DataFrame:
 def scope_grid(panel: DataFrame, study: Study) -> tuple[DataFrame, DataFrame]:
     """(selections, forecasts) for all scopes. ``panel``: long (row_idx, variable, value), complete."""
     spark = panel.sparkSession
-    panel = panel.filter(F.col("variable").isin(list(study.variables))).persist()  # read by every stage below; recomputed if an executor is lost
+    panel = hold(panel.filter(F.col("variable").isin(list(study.variables))))  # read by every stage below; recomputed if an executor is lost
     last = panel.agg(F.max("row_idx")).first()[0]
     longest = max(study.horizons)
     outer = [last - longest - k for k in range(study.n_outer)][::-1]

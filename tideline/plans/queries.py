@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import periods, scalars
-from ..functions.tables import literal_table
+from ..functions.tables import hold, literal_table
 from ..kernels import bvar
 from ..operators import checks, draws, inference, losses, metrics, pairing, selection, vintage
 from . import datasets as D
@@ -802,7 +802,7 @@ def growth_study(spark, sf, **settings) -> tuple[DataFrame, experiment.Study]:
 
     Orders without a priority belong to no series.
     """
-    g = D.growth(spark, sf).filter("variable is not null").persist()  # the names and the rows read it
+    g = hold(D.growth(spark, sf).filter("variable is not null"))  # the names and the rows read it
     variables = tuple(r.variable for r in g.select("variable").distinct().orderBy("variable").collect())  # columns of one regression
     whole = g.groupBy("m").agg(F.count(F.lit(1)).alias("k")).filter(F.col("k") == len(variables)).select("m", (F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("m")) - 1).alias("row_idx"))
     return g.join(whole, "m").select("row_idx", "variable", F.col("y").alias("value")), experiment.Study(variables=variables, **settings)
@@ -886,7 +886,7 @@ def generated_draws(spark, sf):
 # Everything that a comparison reports, in one table: its parts by name.
 @query()
 def comparison_overview(spark, sf):
-    return report.overview(report.comparison(D.panel(spark, sf).persist(), "no_change"))
+    return report.overview(report.comparison(hold(D.panel(spark, sf)), "no_change"))
 
 
 @query("WITH h AS (SELECT DISTINCT 'h' || p_size || 'q' AS label, p_size FROM part) SELECT label, row_number() OVER (ORDER BY p_size) AS position FROM h")

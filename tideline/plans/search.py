@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import child_seed
-from ..functions.tables import literal_table
+from ..functions.tables import hold, literal_table
 from ..kernels import bvar
 from ..operators import losses
 from ..schemas import CELL, DataError
@@ -165,7 +165,7 @@ def scope_search(panel: DataFrame, study: Study, space: SearchSpace, budget: int
     marks its own.
     """
     spark = panel.sparkSession
-    panel = panel.filter(F.col("variable").isin(list(study.variables)))
+    panel = hold(panel.filter(F.col("variable").isin(list(study.variables))))
     last = panel.agg(F.max("row_idx")).first()[0]
     outer = [last - max(study.horizons) - k for k in range(study.n_outer)][::-1]
     origins = literal_table(spark, list(enumerate(outer)), "idx int, origin int")
