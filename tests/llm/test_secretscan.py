@@ -116,3 +116,74 @@ def test_base_counts_equal_sql(spark):
     want = {r[0]: r[1:] for r in duckdb.sql(sql).fetchall()}
     got = {r.doc_id: (r.n_assign, r.n_access, r.n_hex) for r in S.find_secrets(spark.read.parquet(path)).collect()}
     assert got == want and sum(sum(v) for v in want.values()) > 40
+
+
+def brute_named(lines):
+    """``lines``: (name, terms), a term ("lit", text) or ("name", other). Literals by (line, term), by the rule written recursively."""
+    bound = {}
+    for k, (name, _) in enumerate(lines):
+        bound.setdefault(name, []).append(k)
+
+    def nearest(name, k):
+        held = bound.get(name, [])
+        before = [b for b in held if b < k]
+        return before[-1] if before else next((b for b in held if b != k), None)
+
+    def reach(k, seen):  # all bindings of the names on the right side, and on from these
+        for kind, x in lines[k][1]:
+            for b in bound.get(x, []) if kind == "name" else []:
+                if b not in seen:
+                    seen.add(b)
+                    reach(b, seen)
+        return seen
+
+    def literals(k):  # of the sum that the line comes to: (line, term), text
+        own = [((k, i), x) for i, (kind, x) in enumerate(lines[k][1]) if kind == "lit" and not S.stands_in(x)]
+        for kind, x in lines[k][1]:
+            if kind == "name" and nearest(x, k) is not None:
+                own += literals(nearest(x, k))
+        return own
+
+    weight = {}
+    for k, (name, _) in enumerate(lines):
+        w = S.sensitivity(name)
+        if w >= S.LEAST_WEIGHT:
+            for b in reach(k, {k}):
+                weight[b] = max(w, weight.get(b, 0))
+    found = set()
+    for k, w in weight.items():
+        parts = literals(k)
+        if w * S.strength("".join(x for _, x in parts)) >= 0.45:
+            found |= {place for place, _ in parts}
+    return found
+
+
+def test_named_spans_equal_the_recursive_rule():
+    import random
+
+    rng, hits = random.Random(12), 0
+    names = ["a", "key", "auth_token", "conf", "dbPassword", "b2", "client.secret", "label"]  # a name refers to ones before it, so no circle
+    literals = ["kJ8sd7Ghq2LmNx", "plain", "S3cr-t9!xQz", "changeme", "with space in it 9Q!", "Zk3!", "aaaaaaaaaaaa", "q8Zt"]
+    for _ in range(600):
+        lines = []
+        for _ in range(rng.randint(1, 9)):
+            at = rng.randrange(len(names))
+            terms = [("name", names[rng.randrange(at)]) if at and rng.random() < 0.5 else ("lit", rng.choice(literals)) for _ in range(rng.choice([1, 1, 1, 2, 3]))]
+            lines.append((names[at], terms))
+        text, places = "", {}
+        for k, (name, terms) in enumerate(lines):
+            text += name + rng.choice([" = ", ": ", " := ", "="])
+            for i, (kind, x) in enumerate(terms):
+                text += " + " if i else ""
+                if kind == "lit":
+                    places[len(text) + 1, len(text) + 1 + len(x)] = (k, i)
+                    text += f'"{x}"'
+                else:
+                    text += x
+            text += "\n"
+        got = {(a, b) for a, b, _ in S.named_literals(text)}
+        # A lone name with a digit that nothing is bound to is its own value (b2); such spans are no literals.
+        assert {places[s] for s in got if s in places} == brute_named(lines), text
+        assert all(s in places or text[s[0] : s[1]] == "b2" for s in got)
+        hits += len(got)
+    assert hits > 300
