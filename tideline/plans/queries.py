@@ -855,19 +855,19 @@ def search_study(spark, sf) -> tuple[DataFrame, experiment.Study]:
 
 
 @query()
-def glp_candidate_losses(spark, sf):
+def bvar_candidate_losses(spark, sf):
     """Losses of 24 candidates (shrinkages and residual scales) in the inner splits of each cell."""
     return search.scope_search(*search_study(spark, sf), search.SearchSpace("full"))[0]
 
 
 @query()
-def glp_selections(spark, sf):
+def bvar_selections(spark, sf):
     """The candidate of greatest evidence for each cell, with its coordinates."""
     return search.scope_search(*search_study(spark, sf), search.SearchSpace("reduced"), by_evidence=True)[1].drop("point")
 
 
 @query()
-def glp_scope_forecasts(spark, sf):
+def bvar_scope_forecasts(spark, sf):
     """Forecasts with each cell's choice, of its own targets and, as diagnostics, of all others."""
     return search.scope_search(*search_study(spark, sf), search.SearchSpace("custom", free=("lam",), fixed={"mu": 2.0}), diagnostics=True)[2]
 
