@@ -84,23 +84,24 @@ def propagate(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, toleran
     after which no score can move by ``tolerance`` is known from the seeds; it
     stops earlier where none did.
     """
+    rest = round(1 - damping, 12)  # 0.15 as SQL has it: 1 - 0.85 lies above it, which would tip ties at the margin
     edges = durable(edges)
     if edges.isEmpty():
-        return seeds.select("host", "kind", ((1 - damping) * F.col("seed")).alias("score"))
+        return seeds.select("host", "kind", (rest * F.col("seed")).alias("score"))
     along = edges.select(F.col("src").alias("host"), F.col("dst").alias("to"), F.lit(0).alias("kind"), "n")
     flow = durable(along.union(edges.select(F.col("dst").alias("host"), F.col("src").alias("to"), F.lit(1).alias("kind"), "n")))
     heavy = heavy_keys(flow, ["host", "kind"], flow.count())
     none = F.lit(0.0)
     start = flow.select("host", "kind", none.alias("seed"), "n").union(flow.select(F.col("to"), "kind", none, F.lit(0).cast("long"))).union(seeds.select("host", "kind", "seed", F.lit(0).cast("long")))
     start = durable(start.groupBy("host", "kind").agg(F.sum("seed").alias("seed"), F.sum("n").alias("links")))
-    scores = start.select("host", "kind", "links", ((1 - damping) * F.col("seed")).alias("score"))
+    scores = start.select("host", "kind", "links", (rest * F.col("seed")).alias("score"))
     mass = start.agg(F.sum("seed")).first()[0] or 0.0
     rounds = max(1, math.ceil(math.log(tolerance / mass) / math.log(damping)) + 1) if mass > tolerance else 1
     for _ in range(rounds):
         sent = spread_join(flow, scores.select("host", "kind", F.try_divide("score", "links").alias("each")), ["host", "kind"], heavy)
         got = sent.groupBy(F.col("to").alias("host"), "kind").agg(F.sum(F.col("n") * F.col("each")).alias("got"))
         new = scores.select("host", "kind", F.col("score").alias("last")).join(start, ["host", "kind"]).join(got, ["host", "kind"], "left")
-        new = durable(new.select("host", "kind", "links", "last", ((1 - damping) * F.col("seed") + damping * F.coalesce("got", none)).alias("score")))
+        new = durable(new.select("host", "kind", "links", "last", (rest * F.col("seed") + damping * F.coalesce("got", none)).alias("score")))
         moved = new.agg(F.max(F.abs(F.col("score") - F.col("last")))).first()[0]
         scores = new.drop("last")
         if moved is None or moved < tolerance:
