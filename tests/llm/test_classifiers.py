@@ -159,3 +159,9 @@ def test_quality_training_and_scores_by_definition(spark):
     got = {r.doc_id: r.score for r in quality.score(docs, weights, s).collect()}
     for i, t in texts.items():
         assert abs(got[i] - 1 / (1 + math.exp(-sum(want[k] * v for k, v in features(t).items())))) < 1e-3
+
+
+def test_quality_learns_the_same_in_parts(spark):
+    """What features are too many for the driver at once come in the same order, a part at a time."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet") for t in ("documents", "labels"))
+    assert np.array_equal(quality.fit(docs, labels), quality.fit(docs, labels, at_once=1 << 15))

@@ -14,6 +14,7 @@ sigmoid of the bias. A repeated row is scored like the first. Columns beyond
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 
 import numpy as np
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytehash
-from .common import arrow_map, arrow_rows, few_rows, id_remainder, labelled_sample, text_batches
+from .common import arrow_map, arrow_rows, durable, few_rows, id_remainder, labelled_sample, text_batches
 
 
 @dataclass(frozen=True)
@@ -82,31 +83,52 @@ class Ftrl:
         self.n[index] = n + g * g
 
 
-def train(rows: list[tuple[int, int, bytes, bytes]], s: Settings) -> np.ndarray:
-    """Weights, the bias last. Rows: (doc_id, label, indices int32, values float32); both classes weigh alike."""
+def learned(labels: list[int], visit: Callable[[np.ndarray], Iterable[tuple[int, bytes, bytes]]], s: Settings) -> np.ndarray:
+    """Weights, the bias last; both classes weigh alike. ``visit`` gives (label, indices int32, values float32) of the rows in the order it gets."""
     model = Ftrl((1 << s.bits) + 1, s)
-    if not rows:
+    if not labels:
         return np.zeros((1 << s.bits) + 1, np.float32)
-    rows = sorted(rows, key=lambda r: (r[0], r[1]))
-    ones = sum(r[1] for r in rows)
-    weight = [len(rows) / (2 * max(1, len(rows) - ones)), len(rows) / (2 * max(1, ones))]
-    data = [(np.append(np.frombuffer(i, np.int32), 1 << s.bits), np.append(np.frombuffer(v, np.float32), 1.0), y) for _, y, i, v in rows]
+    ones = sum(labels)
+    weight = [len(labels) / (2 * max(1, len(labels) - ones)), len(labels) / (2 * max(1, ones))]
     rng = np.random.default_rng(7)
     for _ in range(s.epochs):
-        for k in rng.permutation(len(data)):
-            model.learn(*data[k], weight[data[k][2]])
+        for y, i, v in visit(rng.permutation(len(labels))):
+            model.learn(np.append(np.frombuffer(i, np.int32), 1 << s.bits), np.append(np.frombuffer(v, np.float32), 1.0), y, weight[y])
     return model.weights(slice(None)).astype(np.float32)
 
 
-def fit(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> np.ndarray:
+def train(rows: list[tuple[int, int, bytes, bytes]], s: Settings) -> np.ndarray:
+    """Weights from rows at hand: (doc_id, label, indices int32, values float32)."""
+    rows = sorted(rows, key=lambda r: (r[0], r[1]))
+    return learned([r[1] for r in rows], lambda order: (rows[k][1:] for k in order), s)
+
+
+def train_streamed(found: DataFrame, size: int, part: int, s: Settings) -> np.ndarray:
+    """The same from a durable table (row, doc_id, label, i, v) of ``size`` bytes: in each epoch the driver gets its rows in that epoch's order, about ``part`` bytes at a time."""
+    keys = sorted((r.doc_id, r.label, r.row) for r in found.select("doc_id", "label", "row").collect())
+
+    def visit(order):
+        places = found.sparkSession.createDataFrame([(keys[k][2], at) for at, k in enumerate(order.tolist())], "row long, place int")
+        dealt = found.join(F.broadcast(places), "row").repartitionByRange(max(1, -(-size // part)), "place").sortWithinPartitions("place")
+        return ((r.label, bytes(r.i), bytes(r.v)) for r in dealt.select("label", "i", "v").toLocalIterator())
+
+    return learned([k[1] for k in keys], visit, s)
+
+
+def fit(docs: DataFrame, labels: DataFrame, s: Settings = Settings(), at_once: int = 1 << 26) -> np.ndarray:
+    """Features of long texts reach 2 MB each; beyond ``at_once`` bytes of them the driver reads them in parts, to the same weights."""
     sample = labelled_sample(docs, labels, "quality", s.divisor, s.held, s.per_class)
 
     def features(batch):
-        made = [document_features((t or "").encode("utf-8", "surrogatepass"), s.bits) for t in batch.column("text").to_pylist()]
-        return {"doc_id": batch.column("doc_id"), "label": batch.column("label"), "i": [a.astype(np.int32).tobytes() for a, _ in made], "v": [b.astype(np.float32).tobytes() for _, b in made]}
-
-    found = arrow_map(sample, features, "doc_id long, label int, i binary, v binary").collect()
-    return train([(r.doc_id, r.label, bytes(r.i), bytes(r.v)) for r in found], s)
+        for doc_id, label, t in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "label", "text"))):
+            index, values = document_features((t or "").encode("utf-8", "surrogatepass"), s.bits)
+            yield {"doc_id": [doc_id], "label": [label], "i": [index.astype(np.int32).tobytes()], "v": [values.astype(np.float32).tobytes()]}
+
+    found = durable(arrow_map(sample, features, "doc_id long, label int, i binary, v binary").withColumn("row", F.monotonically_increasing_id()))
+    size = found.agg(F.sum(F.length("i") + F.length("v"))).first()[0] or 0
+    if size > at_once:
+        return train_streamed(found, size, max(1, at_once // 4), s)
+    return train([(r.doc_id, r.label, bytes(r.i), bytes(r.v)) for r in found.collect()], s)
 
 
 def score_texts(texts: list[str | None], weights: np.ndarray, bits: int) -> np.ndarray:
